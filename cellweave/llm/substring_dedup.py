@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, prepare, sift
@@ -74,51 +74,93 @@ def borders(names: np.ndarray, row: np.ndarray) -> np.ndarray:
     return at
 
 
-#: Border keys that a task holds at once (about 20 bytes each, and twice that while they are sorted).
-INDEX_ROWS = 2_000_000
-INDEX = "bucket int, keys binary, ones binary, base bigint, docs binary, places binary"
-_COLS = ["bucket", "keys", "ones", "base", "docs", "places"]
+#: Border keys or windows that a task settles at once (about 50 bytes each while they are sorted).
+HELD = 1_000_000
+#: Packed rows in one Arrow batch.
+_PACKED_ROWS = 32
+PACKED = "bucket int, single binary, other binary, base bigint, docs binary, places binary"
+_COLS = ["bucket", "single", "other", "base", "docs", "places"]
 _KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as they need, after a byte that tells how many."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + x.astype(f"u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _pack(doc: np.ndarray, place: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Document ids less their least, four bytes each if they fit; places in two bytes if they fit, after a byte of width."""
-    base = int(doc.min()) if len(doc) else 0
-    far = len(doc) and int(doc.max()) - base >= 1 << 32
-    small = not len(place) or place.max() < 1 << 16
-    return base, (b"8" if far else b"4") + (doc - base).astype(np.uint64 if far else np.uint32).tobytes(), (b"2" if small else b"4") + place.astype(np.uint16 if small else np.uint32).tobytes()
+    """Ascending document ids as differences, and places."""
+    base = int(doc[0]) if len(doc) else 0
+    return base, _narrow(np.diff(doc, prepend=base)), _narrow(place)
 
 
 def _unpack(base: int, docs: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    doc = np.frombuffer(docs, np.uint64 if docs[:1] == b"8" else np.uint32, offset=1).astype(np.int64) + base
-    return doc, np.frombuffer(places, np.uint16 if places[:1] == b"2" else np.uint32, offset=1).astype(np.int32)
+    return np.cumsum(_wide(docs)) + base, _wide(places).astype(np.int32)
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), _PACKED_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + _PACKED_ROWS], strict=True), _KINDS, strict=True)], _COLS)
+
+
+def _deal(bits: int, top: np.ndarray, tail: np.ndarray, single: np.ndarray, doc: np.ndarray, place: np.ndarray, settled: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed rows by bucket (the first bits of top): tails of single keys with their places, tails of other keys; then
+    rows without keys, with the places that are settled.  All arrays are in the order of documents; settled is a mask, and
+    neither single nor other keys are in it unless marked so."""
+    bucket = (top >> U(64 - bits)).astype(np.int32)
+    rows = []
+    ones, more = np.flatnonzero(single == 1), np.flatnonzero(single == 2)
+    ones, more = ones[np.argsort(bucket[ones], kind="stable")], more[np.argsort(bucket[more], kind="stable")]
+    every = np.arange((1 << bits) + 1)
+    cut1, cut2 = np.searchsorted(bucket[ones], every), np.searchsorted(bucket[more], every)
+    for b in np.flatnonzero((np.diff(cut1) > 0) | (np.diff(cut2) > 0)).tolist():
+        i, j = ones[cut1[b] : cut1[b + 1]], more[cut2[b] : cut2[b + 1]]
+        rows.append((b, tail[i].tobytes(), tail[j].tobytes(), *_pack(doc[i], place[i])))
+    yield from _batches(rows)
+    at = np.flatnonzero(settled)
+    rows = []
+    for n, i in enumerate(range(0, len(at), 1 << 14)):
+        part = at[i : i + (1 << 14)]
+        rows.append(((n * 37 + int(doc[part[0]])) % (1 << bits), None, None, *_pack(doc[part], place[part])))
+    yield from _batches(rows)
+
+
+def _bytes_of(x: np.ndarray, first: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, first : first + n]
+
+
+def _places(doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(doc), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 100_000]), pa.array(place[i : i + 100_000])], ["doc_id", "place"])
+
+
+KEY_TAIL, WINDOW_TAIL = 6, 11
 
 
 def _index(bits: int):
-    """Packed border keys by bucket, one for each key of the task; without keys: the places of keys that repeat in the task."""
+    """Border keys by bucket: a key's place if it is single here, else the bare key; places of keys that repeat here are settled."""
 
     def settle(keys: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
         key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
         order = np.argsort(key, kind="stable")
-        key, doc, place = key[order], doc[order], place[order]
-        same = key[1:] == key[:-1]
+        same = key[order[1:]] == key[order[:-1]]
         first = np.concatenate(([True], ~same))
         again = np.concatenate((same, [False])) | ~first
-        d, p = doc[again], place[again]
-        starts = np.searchsorted(key, np.arange(1 << bits, dtype=U) << U(64 - bits))
-        rows = []
-        for b, (i, j) in enumerate(zip(starts, np.append(starts[1:], len(key)), strict=True)):
-            if i < j:
-                f = first[i:j]
-                one = ~again[i:j][f]
-                tail = np.ascontiguousarray(key[i:j][f].astype(">u8").view(np.uint8).reshape(-1, 8)[:, bits // 8 : bits // 8 + 7])
-                rows.append((b, tail.tobytes(), np.packbits(one).tobytes(), *_pack(doc[i:j][f][one], place[i:j][f][one])))
-        for i in range(0, len(d), 1 << 16):
-            rows.append((len(rows) % (1 << bits), None, None, *_pack(d[i : i + (1 << 16)], p[i : i + (1 << 16)])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _COLS)
+        kind, settled = np.zeros(len(key), np.int8), np.zeros(len(key), bool)
+        kind[order] = np.where(first, np.where(again, 2, 1), 0)
+        settled[order] = again
+        by = np.argsort(doc, kind="stable") if (np.diff(doc) < 0).any() else slice(None)
+        key, doc, place, kind, settled = key[by], doc[by], place[by], kind[by], settled[by]
+        yield from _deal(bits, key, _bytes_of(key, bits // 8, KEY_TAIL), kind, doc, place, settled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, places = [], [], []
+        keys, docs, places, held = [], [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, data, offsets in slices(batch.column(1)):
@@ -133,90 +175,94 @@ def _index(bits: int):
                     keys.append(window_hashes(w.hash, 2 * AROUND)[at - AROUND])
                     docs.append(ids[first + w.row_of[at]].astype(np.int64))
                     places.append(inside[ok].astype(np.int32))
-            if sum(map(len, keys)) >= INDEX_ROWS:
-                yield from settle(keys, docs, places)
-                keys, docs, places = [], [], []
+                    held += len(at)
+                if held >= HELD:
+                    yield from settle(keys, docs, places)
+                    keys, docs, places, held = [], [], [], 0
         if keys:
             yield from settle(keys, docs, places)
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of keys that repeat within a task, as they came, and single places of keys that other tasks have too."""
-
-    def out(doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(doc), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 100_000]), pa.array(place[i : i + 100_000])], ["doc_id", "place"])
-
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, tails, ones, base, docs, places in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if tails is None:
-                yield from out(*_unpack(base, docs, places))
-            else:
-                held.setdefault(bucket, []).append((tails, ones, base, docs, places))
-    for parts in held.values():
-        tail = np.frombuffer(b"".join(x[0] for x in parts), np.uint8).reshape(-1, 7)
-        k = np.zeros((len(tail), 8), np.uint8)
-        k[:, :7] = tail
-        k = k.view(">u8").reshape(-1).astype(U)
-        one = np.concatenate([np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(x[0]) // 7).astype(bool) for x in parts])
-        doc, place = np.full(len(k), -1, np.int64), np.zeros(len(k), np.int32)
-        both = [_unpack(*x[2:]) for x in parts]
-        doc[one], place[one] = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-        order = np.argsort(k, kind="stable")
-        k, one, doc, place = k[order], one[order], doc[order], place[order]
-        same = k[1:] == k[:-1]
-        again = (np.concatenate((same, [False])) | np.concatenate(([False], same))) & one
-        yield from out(doc[again], place[again])
-
-
-def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the windows around the given borders.  What repeats within the task is settled here: late windows start
-    after their equal and travel under a key of their own; of each window, the first place here is to be compared."""
-    h1s, h2s, docs, starts = [], [], [], []
-
-    def out():
+def _compare(tails: int, earliest: bool):
+    """Settled places as they came, and those of compared rows whose key others have too: all of them, or all but the
+    earliest (document, place) of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, single, other, base, docs, places in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if single is None:
+                    yield from _places(*_unpack(base, docs, places))
+                else:
+                    held.setdefault(bucket, []).append((single, other, base, docs, places))
+        while held:
+            _, parts = held.popitem()
+            known = [_unpack(*x[2:]) for x in parts]
+            doc, place = np.concatenate([x[0] for x in known]), np.concatenate([x[1] for x in known])
+            tail = np.frombuffer(b"".join([x[0] for x in parts] + [x[1] for x in parts]), np.uint8).reshape(-1, tails)
+            wide = np.zeros((len(tail), 16), np.uint8)
+            wide[:, :tails] = tail
+            k1, k2 = (wide[:, i : i + 8].copy().view(np.uint64).reshape(-1) for i in (0, 8))
+            bare = np.arange(len(tail)) >= len(doc)
+            doc, place = np.append(doc, np.zeros(int(bare.sum()), np.int64)), np.append(place, np.zeros(int(bare.sum()), np.int32))
+            order = np.lexsort((place, doc, bare, k2, k1)) if earliest else np.argsort(k1, kind="stable")
+            same = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
+            hit = np.concatenate(([False], same))
+            if not earliest:
+                hit |= np.concatenate((same, [False]))
+            hit = order[hit & ~bare[order]]
+            yield from _places(doc[hit], place[hit])
+
+    return run
+
+
+def _windows(bits: int):
+    """Fingerprints of the windows around the given borders, by bucket.  Each window sends its earliest place here; later
+    places here are settled."""
+
+    def settle(h1s: list, h2s: list, docs: list, starts: list) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, start = (np.concatenate(x) for x in (h1s, h2s, docs, starts))
-        order = np.lexsort((start, doc, h2, h1))
-        h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
-        later = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
-        step = 200_000
-        for pick, late in ((np.flatnonzero(~later), False), (np.flatnonzero(later), True)):
-            for i in range(0, len(pick), step):
-                p = pick[i : i + step]
-                k1, k2 = (mix(doc[p].view(U)), start[p].astype(U)) if late else (h1[p], h2[p])
-                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(len(p), late)), pa.array(doc[p]), pa.array(start[p])], ["h1", "h2", "late", "doc_id", "start"])
-
-    for batch in batches:
-        ids, marks = batch.column(0).to_numpy(), batch.column(2)
-        for first, data, offsets in slices(batch.column(1)):
-            w, rows = Words(data, offsets), len(offsets) - 1
-            n = len(w.hash)
-            if n < WINDOW:
-                continue
-            part = marks.slice(first, rows)
-            place = part.flatten().to_numpy()
-            of = np.repeat(np.arange(rows), np.diff(part.offsets.to_numpy()))
-            # a window is compared if it holds a marked border with all the words around it
-            low = np.maximum(place + AROUND - WINDOW, 0) + w.first[of]
-            high = np.minimum(place - AROUND, w.count[of] - WINDOW) + w.first[of]
-            ok = high >= low
-            cover = np.zeros(n + 1, np.int32)
-            np.add.at(cover, low[ok], 1)
-            np.add.at(cover, high[ok] + 1, -1)
-            at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            if len(at):
-                h1s.append(window_hashes(w.hash, WINDOW)[at])
-                h2s.append(window_hashes(mix(w.hash ^ U(0x94D049BB133111EB)), WINDOW, 0xD6E8FEB86659FD93)[at])
-                docs.append(ids[first + w.row_of[at]].astype(np.int64))
-                starts.append((at - w.first[w.row_of[at]]).astype(np.int32))
-        if sum(map(len, h1s)) >= 1_000_000:
-            yield from out()
-            h1s, h2s, docs, starts = [], [], [], []
-    if h1s:
-        yield from out()
+        by = np.lexsort((start, doc))
+        h1, h2, doc, start = h1[by], h2[by], doc[by], start[by]
+        order = np.lexsort((h2, h1))  # stable: places ascend within a window
+        later = np.zeros(len(h1), bool)
+        later[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        tail = np.hstack((_bytes_of(h1, bits // 8, 7), _bytes_of(h2, 0, WINDOW_TAIL - 7)))
+        yield from _deal(bits, h1, tail, (~later).astype(np.int8), doc, start, later)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h1s, h2s, docs, starts, held = [], [], [], [], 0
+        for batch in batches:
+            ids, marks = batch.column(0).to_numpy(), batch.column(2)
+            for first, data, offsets in slices(batch.column(1)):
+                w, rows = Words(data, offsets), len(offsets) - 1
+                n = len(w.hash)
+                if n < WINDOW:
+                    continue
+                part = marks.slice(first, rows)
+                place = part.flatten().to_numpy()
+                of = np.repeat(np.arange(rows), np.diff(part.offsets.to_numpy()))
+                # a window is compared if it holds a marked border with all the words around it
+                low = np.maximum(place + AROUND - WINDOW, 0) + w.first[of]
+                high = np.minimum(place - AROUND, w.count[of] - WINDOW) + w.first[of]
+                ok = high >= low
+                cover = np.bincount(low[ok], minlength=n + 1)[: n + 1] - np.bincount(high[ok] + 1, minlength=n + 1)[: n + 1]
+                at = np.flatnonzero(np.cumsum(cover[:n]) > 0)
+                if len(at):
+                    h1s.append(window_hashes(w.hash, WINDOW)[at])
+                    h2s.append(window_hashes(mix(w.hash ^ U(0x94D049BB133111EB)), WINDOW, 0xD6E8FEB86659FD93)[at])
+                    docs.append(ids[first + w.row_of[at]].astype(np.int64))
+                    starts.append((at - w.first[w.row_of[at]]).astype(np.int32))
+                    held += len(at)
+                if held >= HELD:
+                    yield from settle(h1s, h2s, docs, starts)
+                    h1s, h2s, docs, starts, held = [], [], [], [], 0
+        if h1s:
+            yield from settle(h1s, h2s, docs, starts)
+
+    return run
 
 
 def _cut_words(digest_only: bool):
@@ -259,13 +305,11 @@ def repeated_windows(docs: DataFrame, digest_only: bool = False, id_col: str = "
     first = body.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
     copies = cut(body.join(first, "h").where("doc_id > least").select("doc_id").distinct())
     bits = max(8, math.ceil(math.log2(4 * partitions(spark))))
-    found = slim.mapInArrow(_index(bits), INDEX).repartition(1 << bits, "bucket").mapInArrow(_compare, "doc_id bigint, place int")
+    found = slim.mapInArrow(_index(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(KEY_TAIL, False), "doc_id bigint, place int")
     marks = cut(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")).join(copies, "doc_id", "left_anti"))
     texts = sift(slim, marks.select("doc_id"), "doc_id").join(marks, "doc_id").select("doc_id", "text", "places")
-    wins = texts.mapInArrow(_hash_windows, "h1 bigint, h2 bigint, late boolean, doc_id bigint, start int")
-    least = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("h1", "h2", "late"))
-    late = wins.withColumn("least", least).where("late or struct(doc_id, start) > least")
-    flags = late.groupBy("doc_id").agg(F.collect_set("start").alias("flags")).withColumn("whole", F.lit(False))
+    late = texts.mapInArrow(_windows(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(WINDOW_TAIL, True), "doc_id bigint, place int")
+    flags = late.groupBy("doc_id").agg(F.collect_set("place").alias("flags")).withColumn("whole", F.lit(False))
     flags = cut(flags.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("flags"), F.lit(True).alias("whole"))))
     shape = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     cutting = _cut_words(digest_only)
