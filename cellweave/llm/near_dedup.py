@@ -7,9 +7,11 @@ within 21 meet in a bucket.  Pairs that meet at up to ``REACH`` differences go o
 meets with probability 1 - 8e-6.  Links are confirmed on the full sets, so that none is false.
 
 Buckets are never expanded into all pairs.  Texts with equal sets are one node.  In rounds, each bucket compares its
-members with one pivot; members in one component need no more comparing, so that a bucket of many near copies melts
-within a round or two.  When the pairs of different components within buckets are few (linear in the bucket rows), all of
-them are compared, which makes the result exact over everything that meets; until then the rounds go on.
+members with one pivot by their signatures; members that are near hang together from then on, so that a bucket of many near
+copies melts within a round or two.  When the pairs of loosely unconnected members within buckets are few (linear in the
+bucket rows), all of them are compared, so that every pair that meets within ``REACH`` ends in one loose group.  Loose
+groups are then compared exactly: blocks of 256 texts by blocks of 256, their full sets as the rows of a 0/1 matrix whose
+product has all the intersections; a block pair sends on one link for each member at most.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, prepare, wanted_rows
+from .common import connected_components, cut, prepare, sift
 from .textvec import U, Words, mix, slices
 
 CHUNKS, WIDTH = 11, 6
 SYMBOLS = CHUNKS * WIDTH
-#: Signature distances up to this many symbols are confirmed on the full sets (at similarity 0.8, 5 sigma above the mean).
+#: Signature distances up to this many symbols make a loose link (at similarity 0.8, 5 sigma above the mean).
 REACH = 30
 _RNG = np.random.default_rng(20240501)
 _XOR = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
@@ -50,7 +52,7 @@ def shingle_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return w.row_of[keep], mix(acc[keep])
 
 
-def _features(k: int, wide: bool):
+def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -102,22 +104,76 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_set(text: str | None, k: int) -> set:
+    """The set of a text, as tuples of words; near_duplicates links by fingerprints of these."""
     words = (text or "").encode().lower().split()
     return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} - {()}
 
 
-def _confirm(k: int, percent: int):
+#: Texts in a block of the exact comparison.
+BLOCK = 256
+
+
+def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets (arrays of distinct fingerprints) have similarity >= percent / 100: a symmetric boolean matrix."""
+    size = np.array([len(x) for x in sets], np.int64)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(column) > 1
+    number = np.cumsum(shared) - 1
+    pick = shared[column]
+    row, column = row[pick], number[column[pick]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    step = 4096
+    edges = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + step, step))
+    for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        x = np.zeros((len(sets), step), np.float32)
+        x[row[a:b], column[a:b] - n * step] = 1
+        both += x @ x.T
+    both = both.astype(np.int64)
+    return (both > 0) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+
+
+def least_reachable(linked: np.ndarray) -> np.ndarray:
+    """Index of the first row reachable from each row of a symmetric boolean matrix."""
+    label = np.arange(len(linked))
+    linked = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        new = np.where(linked, label[None, :], len(label)).min(1)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _exact(k: int, percent: int):
+    """Rows sorted by (g, i, j): the texts of one block pair after another."""
+
+    def settle(reps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(reps)
+        rep = np.array(reps)[order]
+        label = least_reachable(links_within([sets[o] for o in order], percent))
+        far = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([pa.array(rep[label[far]]), pa.array(rep[far])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reps, sets = None, [], []
         for batch in batches:
-            keep, last, known = [], None, set()
-            for a, s, t in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if a != last:
-                    last, known = a, shingle_set(s, k)
-                other = shingle_set(t, k)
-                both = len(known & other)
-                keep.append(both > 0 and 100 * both >= percent * (len(known) + len(other) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            ids = batch.column(3).to_pylist()
+            for first, data, offsets in slices(batch.column(4)):
+                row, x = shingle_hashes(Words(data, offsets, lower=True), k)
+                cuts = np.searchsorted(row, np.arange(len(offsets)))
+                for r in range(len(offsets) - 1):
+                    if keys[first + r] != now:
+                        if len(reps) > 1:
+                            yield settle(reps, sets)
+                        now, reps, sets = keys[first + r], [], []
+                    reps.append(ids[first + r])
+                    sets.append(np.unique(x[cuts[r] : cuts[r + 1]]))
+        if len(reps) > 1:
+            yield settle(reps, sets)
 
     return run
 
@@ -132,25 +188,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = cut(slim.mapInArrow(_features(shingle, False), FEATURES))
+    features = cut(slim.mapInArrow(_features(shingle), FEATURES))
     reps = cut(features.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     keys = reps.select("rep", F.col("n_shingles").alias("n"), "sig").mapInArrow(_keys, "key bigint, rep bigint, n bigint")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = cut(keys.join(shared.select("key"), "key"))
     rows = buckets.count()
     sigs = reps.select("rep", "sig")
-    comp, links, tested, turn = None, None, None, 0
+    loose, near, merged, turn = None, None, 1, 0
     while rows:
-        placed = buckets.withColumn("comp", F.col("rep")) if comp is None else buckets.join(comp, buckets.rep == comp.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        if comp is not None:
-            placed = cut(placed)
+        placed = buckets.withColumn("comp", F.col("rep"))
+        if loose is not None:
+            placed = cut(buckets.join(loose, buckets.rep == loose.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")))
             by = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.expr("c * c")).alias("same"))
             open_ = by.where("all * all > same").select("key", ((F.expr("all * all") - F.col("same")) / 2).alias("todo"))
             todo = open_.agg(F.sum("todo")).first()[0]
             if not todo:
                 break
             placed = placed.join(open_.select("key"), "key")
-        last = comp is not None and todo <= 4 * rows
+        last = loose is not None and (todo <= 4 * rows or not merged)
         ratio = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
         if last:
             other = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
@@ -159,21 +215,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"))
             pairs = placed.join(pivot, "key").select("rep", "n", "comp", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_b"))
             pairs = pairs.where("comp <> comp_b").where(ratio).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        signed = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        near = cut(signed.mapInArrow(_close, "a bigint, b bigint"))
-        ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = cut(wanted_rows(slim, ids, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")))
-        full = near.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        found = cut(full.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint"))
-        links = found if links is None else links.unionByName(found)
-        tested = near if tested is None else tested.unionByName(near)
-        comp = connected_components(links)
+        signed = pairs.distinct().join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+        found = cut(signed.mapInArrow(_close, "a bigint, b bigint"))
+        merged = found.count()
+        near = found if near is None else near.unionByName(found)
+        loose = connected_components(near)
         turn += 1
         if last:
             break
+    comp = None
+    if loose is not None:
+        size = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        member = cut(loose.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "blocks"))
+        texts = sift(slim, member.select("doc_id"), "doc_id").join(member, "doc_id")
+        texts = texts.withColumn("at", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+        dealt = texts.select("g", F.col("doc_id").alias("rep"), "text", "at", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
+        dealt = dealt.select("g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep", "text")
+        grouped = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        comp = connected_components(grouped.mapInArrow(_exact(shingle, percent), "a bigint, b bigint"))
     out = features.join(reps.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
     if comp is not None:
         out = out.join(comp, out.rep == comp.node, "left")
