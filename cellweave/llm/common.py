@@ -61,17 +61,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
 WANTED_BITS = 26
 
 
+def _mapped(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    slot = F.expr(f"xxhash64(`{key}`) & {(1 << WANTED_BITS) - 1}L")
+    maps = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 32768").alias("map_no")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("map_bits"))
+    near = rows.withColumn("map_slot", slot).join(F.broadcast(maps), F.expr("map_slot div 32768 = map_no"), how)
+    bit = "cast(conv(hex(substring(map_bits, cast((map_slot % 32768) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(map_slot % 8 as int)) <> 0"
+    return near.withColumn("map_bit", F.coalesce(F.expr(bit), F.lit(False)) & F.col(key).isNotNull()).drop("map_slot", "map_no", "map_bits")
+
+
 def sift(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """A superset of the rows whose key is among ids (one column, named as key), made without a shuffle of the rows.
 
     A bit map of hashed ids, of a fixed size at any input, is broadcast; most rows of other keys are dropped by it.  Null
     keys match nothing.
     """
-    slot = F.expr(f"xxhash64(`{key}`) & {(1 << WANTED_BITS) - 1}L")
-    maps = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 32768").alias("map_no")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("map_bits"))
-    near = rows.where(F.col(key).isNotNull()).withColumn("map_slot", slot).join(F.broadcast(maps), F.expr("map_slot div 32768 = map_no"))
-    bit = "cast(conv(hex(substring(map_bits, cast((map_slot % 32768) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(map_slot % 8 as int)) <> 0"
-    return near.where(bit).drop("map_slot", "map_no", "map_bits")
+    return _mapped(rows, ids, key, "inner").where("map_bit").drop("map_bit")
+
+
+def without_rows(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among ids: those that the bit map clears stay in place, only the others are anti-joined."""
+    marked = _mapped(rows, ids, key, "left")
+    rest = marked.where("map_bit").drop("map_bit").join(ids.distinct(), key, "left_anti")
+    return marked.where("not map_bit").drop("map_bit").unionByName(rest)
 
 
 def wanted_rows(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -55,7 +55,6 @@ def shingle_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, data, offsets in slices(batch.column(1)):
                 rows = len(offsets) - 1
                 row, x = shingle_hashes(Words(data, offsets, lower=True), k)
@@ -81,7 +80,7 @@ def _features(k: int):
                     raw = mins.tobytes()
                     for j, r in enumerate(full.tolist()):
                         sig[r] = raw[j * 2 * SYMBOLS : (j + 1) * 2 * SYMBOLS]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + rows], pa.int64()), pa.array(count, pa.int64()), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(count, pa.int64()), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
 
     return run
 
@@ -183,13 +182,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document with fewer words than a shingle has
     its whole sequence as its one shingle.  Null or blank text: an empty set, linked with nothing, a component of its own.
-    Repeated rows (the same id and text) stay rows and share their id's component; other columns are not read.  An empty
+    Rows without an id are kept and stand for no component.  Repeated rows (the same id and text) stay rows and share their id's component; other columns are not read.  An empty
     table gives no rows.
     """
     prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = cut(slim.mapInArrow(_features(shingle), FEATURES))
-    reps = cut(features.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    reps = cut(features.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"))
     keys = reps.select("rep", F.col("n_shingles").alias("n"), "sig").mapInArrow(_keys, "key bigint, rep bigint, n bigint")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = cut(keys.join(shared.select("key"), "key"))
@@ -238,4 +237,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         out = out.join(comp, out.rep == comp.node, "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("bigint"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))

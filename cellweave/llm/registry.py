@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import rotate_perspectives
 from .common import table
 from .decontaminate import contamination
+from .embedding_dedup import embedding_duplicates
+from .html_text import extract_pages
+from .language_id import identify
+from .lm_score import score_texts
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .secrets import find_secrets
 from .substring_dedup import repeated_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +26,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False)
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -29,10 +57,25 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents"), digest_only=True)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_chat_perspectives": op2_chat_perspectives,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_lm_scores": op4_lm_scores,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_source_mixing": op6_source_mixing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 _COMPONENTS = """
@@ -70,6 +113,26 @@ FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY nod
 """
 )
 
+OP2_SQL = """
+WITH said AS (
+  SELECT conv_id, turn // 256 AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), who AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'
+), lines AS (
+  SELECT s.conv_id, perspective, part, turn, role, text, role = perspective AS own,
+    '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+    text || '<|im_end|>' || chr(10) AS body
+  FROM said s JOIN who w ON s.conv_id IS NOT DISTINCT FROM w.conv_id
+), placed AS (
+  SELECT *, row_number() OVER w AS i, CAST(sum(length(head) + length(body)) OVER w AS BIGINT) AS upto FROM lines
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns, CAST(count(*) FILTER (own) AS BIGINT) AS n_own,
+  min(upto - length(head) - length(body)) AS start, string_agg(head || body, '' ORDER BY i) AS text,
+  coalesce(string_agg((upto - length(body)) || ':' || upto, ',' ORDER BY i) FILTER (own), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
 OP7_SQL = """
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
@@ -113,10 +176,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP10_SQL = (
+    """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), ok AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_dot_product(x, x) > 0
+), edges AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.98
+)"""
+    + _COMPONENTS.format(id="vec_id", nodes="v")
+    + """
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM edges GROUP BY a) c ON c.a = v.vec_id
+JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) r ON r.node = v.vec_id
+"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op2_chat_perspectives": OP2_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
 }
 
 

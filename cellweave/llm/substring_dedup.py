@@ -294,18 +294,19 @@ def repeated_windows(docs: DataFrame, digest_only: bool = False, id_col: str = "
     """doc_id, n_words, n_removed, kept_sha256, kept_text (null with digest_only) of every document row.
 
     Removed is each word within a window of 20 words whose sequence also starts earlier: in a smaller doc_id, or earlier in
-    the same document.  Windows are judged on the input.  Null and blank texts have no words; ids are expected to be
-    unique and not null: rows of one id are all cut by the flags of all of them.  Other columns are not read.
+    the same document.  Windows are judged on the input.  Null and blank texts have no words; rows
+    without an id keep all their words and are no earlier place; rows of one id are all cut by the flags of all of them.  Other columns are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # Whole copies of an earlier text need no windows: all their words go.
-    body = slim.select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n")).where("n > 0")
+    named = slim.where("doc_id is not null")
+    body = named.select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n")).where("n > 0")
     first = body.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
     copies = cut(body.join(first, "h").where("doc_id > least").select("doc_id").distinct())
     bits = max(8, math.ceil(math.log2(4 * partitions(spark))))
-    found = slim.mapInArrow(_index(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(KEY_TAIL, False), "doc_id bigint, place int")
+    found = named.mapInArrow(_index(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(KEY_TAIL, False), "doc_id bigint, place int")
     marks = cut(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")).join(copies, "doc_id", "left_anti"))
     texts = sift(slim, marks.select("doc_id"), "doc_id").join(marks, "doc_id").select("doc_id", "text", "places")
     late = texts.mapInArrow(_windows(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(WINDOW_TAIL, True), "doc_id bigint, place int")
