@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ ARROW_ROWS = 512
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches and make sure that a checkpoint folder exists (the session's own, if it names one)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    while _held:
+        _held.pop().unpersist()
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
@@ -24,6 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """The same rows, kept on the executors' disks for the uses to come; lost parts are computed again from their lineage.
+
+    They are let go when the next operator begins (a result still in use is then computed again where needed).
+    """
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,6 +47,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Narrow rows in a task of a later round: a round over few rows needs few tasks (and few files), whatever the shuffle's setting.
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(rows: int) -> int:
+    return rows // ROWS_PER_TASK + 1
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
@@ -47,12 +70,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (mark.n, mark.h) == seen:
             break
         seen = (mark.n, mark.h)
+        e = e.coalesce(tasks_for(mark.n))
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.where("u <> v").distinct())
+    e = e.coalesce(tasks_for(seen[0]))
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

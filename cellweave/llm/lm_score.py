@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import hold, prepare
 from .textvec import U, Words, mix, slices
 
 CLASSES, MEMBERS = 16, 16
@@ -230,9 +230,16 @@ def _score(shared):
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the texts (column text), and their token counts (h, c)."""
     spark = texts.sparkSession
-    counts = cut(texts.mapInArrow(_count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
+    counts = hold(texts.mapInArrow(_count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
+    # Known words: all counts from a level on, with at most KNOWN words; levels are 64 to a doubling.
+    level = F.floor(F.log2("c") * 64)
+    least, words = 1 << 30, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if words + r["count"] > KNOWN:
+            break
+        least, words = r.level, words + r["count"]
+    top = counts.where(level >= least).toPandas()
     model = Model(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64), int(size.n), int(size.v))
     parts = texts.mapInArrow(_train(spark.sparkContext.broadcast(model)), "t int, at int, part binary")
     # Copies are summed in two steps, so that no task gets a piece from every other.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, prepare, sift
+from .common import connected_components, hold, prepare, sift, tasks_for
 from .textvec import U, Words, mix, slices
 
 CHUNKS, WIDTH = 11, 6
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     buckets = cut(keys.join(shared.select("key"), "key"))
     rows = buckets.count()
+    buckets = buckets.coalesce(tasks_for(rows))
     sigs = reps.select("rep", "sig")
     loose, near, merged, turn = None, None, 1, 0
     while rows:

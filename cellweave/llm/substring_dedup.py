@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, prepare, sift
+from .common import hold, partitions, prepare, sift
 from .textvec import U, Words, mix, slices, window_hashes
 
 WINDOW = 20
@@ -304,14 +304,14 @@ def repeated_windows(docs: DataFrame, digest_only: bool = False, id_col: str = "
     named = slim.where("doc_id is not null")
     body = named.select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n")).where("n > 0")
     first = body.groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    copies = cut(body.join(first, "h").where("doc_id > least").select("doc_id").distinct())
+    copies = hold(body.join(first, "h").where("doc_id > least").select("doc_id").distinct())
     bits = max(8, math.ceil(math.log2(4 * partitions(spark))))
     found = named.mapInArrow(_index(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(KEY_TAIL, False), "doc_id bigint, place int")
-    marks = cut(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")).join(copies, "doc_id", "left_anti"))
+    marks = hold(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places")).join(copies, "doc_id", "left_anti"))
     texts = sift(slim, marks.select("doc_id"), "doc_id").join(marks, "doc_id").select("doc_id", "text", "places")
     late = texts.mapInArrow(_windows(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(WINDOW_TAIL, True), "doc_id bigint, place int")
     flags = late.groupBy("doc_id").agg(F.collect_set("place").alias("flags")).withColumn("whole", F.lit(False))
-    flags = cut(flags.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("flags"), F.lit(True).alias("whole"))))
+    flags = hold(flags.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("flags"), F.lit(True).alias("whole"))))
     shape = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
     cutting = _cut_words(digest_only)
     hit = sift(slim, flags.select("doc_id"), "doc_id").join(flags, "doc_id").select("doc_id", "text", "whole", "flags").mapInArrow(cutting, shape)
