@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hold, prepare, sift, tasks_for
+from .common import connected_components, cut, prepare, sift, tasks_for
 from .textvec import U, Words, mix, slices
 
 CHUNKS, WIDTH = 11, 6
