@@ -102,12 +102,17 @@ def _docs_to_scan(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]
 
 
 def ratio_table(counts: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each transition from summed counts (random, pair, c), with one added to each transition."""
-    c = np.ones((2, SYMBOLS, SYMBOLS))
+    """Log-likelihood ratio of each transition from summed counts (random, pair, c).
+
+    Both models back off to how frequent the next character is at all, so that what ordinary tokens never hold is unlikely
+    after anything; a tenth of the random model is uniform, as random strings may hold any pair."""
+    c = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in counts.groupBy("random", "pair").agg(F.sum("c").alias("c")).collect():  # at most 2 * SYMBOLS ** 2 rows
         c[int(r.random), r.pair // SYMBOLS, r.pair % SYMBOLS] += max(r.c, 0)
-    c[1] += 0.02 * c[1].sum() / SYMBOLS**2  # random strings may hold any pair
-    return np.log(c[1] / c[1].sum(1, keepdims=True)) - np.log(c[0] / c[0].sum(1, keepdims=True))
+    alone = c.sum(1) + 0.5
+    alone /= alone.sum(1, keepdims=True)
+    p = (c + 5 * alone[:, None, :]) / (c.sum(2, keepdims=True) + 5)
+    return np.log(0.9 * p[1] + 0.1 / SYMBOLS) - np.log(p[0])
 
 
 def train(labelled: DataFrame) -> np.ndarray:

@@ -1,0 +1,159 @@
+"""Operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
+
+import itertools
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from cellweave.llm import registry
+from cellweave.llm.chat_format import rotate_perspectives
+from cellweave.llm.decontaminate import contamination
+from cellweave.llm.embedding_dedup import embedding_duplicates
+from cellweave.llm.html_text import main_text
+from cellweave.llm.language_id import identify
+from cellweave.llm.lm_score import score_texts
+from cellweave.llm.mixing import mix_sources
+from cellweave.llm.near_dedup import near_duplicates, shingle_set
+from cellweave.llm.secrets import find_secrets, train
+from cellweave.llm.substring_dedup import repeated_windows
+
+D = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, h long, bucket int, score string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    texts: list = [" ".join(rng.choices(vocab, k=rng.randint(1, 90))) for _ in range(60)]
+    for t in texts[:20]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [*texts[:5], None, "", " \n", "x", "x", "the the " * 40, "Ünïcode   text " * 15]
+    rows = [(i, t, ("a", "b", None)[i % 3], ("s1", "s2", None, "s3")[i % 4], 1, 2, "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, "no id", None, None, None, None, None)], SCHEMA)
+
+
+def components(nodes, links):
+    comp = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def test_near_duplicates(docs):
+    rows = [(r.doc_id, shingle_set(r.text, 2)) for r in docs.collect() if r.doc_id is not None]
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    want = components([a for a, _ in rows], links)
+    got = {r.doc_id: r for r in near_duplicates(docs, 2).collect()}
+    assert {k: r.component_id for k, r in got.items() if k is not None} == want and got[None].kept
+    assert all(got[a].n_shingles == len(x) for a, x in rows)
+    assert near_duplicates(docs.limit(0), 2).count() == 0
+
+
+def test_repeated_windows(docs):
+    rows = sorted((r.doc_id, (r.text or "").encode().split()) for r in docs.collect() if r.doc_id is not None)
+    seen, want = set(), {}
+    for doc, w in rows:
+        gone = set()
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                gone.update(range(i, i + 20))
+            seen.add(key)
+        want[doc] = (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeated_windows(docs).collect() if r.doc_id is not None}
+    assert got == want
+    assert repeated_windows(docs.limit(0)).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 16))
+    vecs = [*base, *(base[:15] + 0.1 * rng.standard_normal((15, 16))), base[0], 3 * base[1], np.zeros(16)]
+    rows = [(i, [float(x) for x in v], (i % 2 if i < 50 else 0) if i % 13 else None, "c") for i, v in enumerate(vecs)]
+    rows += [(900, None, 1, "c"), (901, [float("nan")] * 16, 1, "c"), (902, [], 1, "c"), (None, rows[2][1], 0, "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string")
+    ok = [(i, np.array(v), lab) for i, v, lab, _ in rows if i is not None and v and lab is not None and np.isfinite(v).all() and any(v)]
+    links = [(a, b) for (a, x, p), (b, y, q) in itertools.combinations(ok, 2) if p == q and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98]
+    want = components([r[0] for r in rows if r[0] is not None], links)
+    got = {r.vec_id: r for r in embedding_duplicates(df).collect()}
+    assert {k: r.component_id for k, r in got.items() if k is not None} == want
+    assert all(got[k].n_links == sum(k in x for x in links) for k in want)
+
+
+def test_contamination(spark, docs):
+    bench = spark.createDataFrame([(1, "A, b c"), (2, None), (3, "!!"), (4, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x A-B c y A b! C"), (2, "W3 " + " ".join(f"w{i}" for i in range(3, 19))), (3, None), (4, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r for r in contamination(d, bench).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1]["items"], [tuple(s) for s in got[1].spans]) == (8, 6, ["1"], [(2, 7), (10, 16)])
+    assert (got[2].n_hit, got[2]["items"], got[2].contaminated, got[3].n_words, got[4].n_hit) == (16, ["4"], True, 0, 0)
+    assert contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_secrets(spark):
+    rng = random.Random(1)
+    key = "".join(rng.choices("ABCDEFGHJKabcdefghijk0123456789", k=40))
+    d = spark.createDataFrame([(1, f"é TOKEN = abcdef12 and {key} end", "q"), (2, "AKIA" + "A" * 16 + " secret:pass secret:token:abcdefg", None), (3, None, "x"), (4, "plain words only", "x")], "doc_id long, text string, spans string")
+    big = d.unionByName(spark.createDataFrame([(i, "some ordinary internationalization words about characterization " * 50, None) for i in range(10, 20)], d.schema))
+    assert {r.doc_id: r.n_assign for r in find_secrets(big).collect()}[1] == 1  # trained on the corpus itself
+    sample = [("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)), True) for _ in range(300)]
+    sample += [(w, False) for w in "some ordinary internationalization words about characterization plain only end and secret pass token".split() for _ in range(50)]
+    model = train(spark.createDataFrame([*sample, (None, False), ("x", None)], "text string, label boolean"))
+    got = {r.doc_id: r for r in find_secrets(big, model, redact=True).collect()}
+    assert got[1].spans == "assign:2:18,markov:23:63" and got[1].redacted == "é [SECRET] and [SECRET] end"
+    assert got[2].spans == "access:0:20" and (got[3].spans, got[4].spans, got[10].spans) == ("", "", "")
+
+
+def test_language(spark):
+    rng = random.Random(2)
+    make = lambda s: " ".join("".join(rng.choices(s, k=4)) for _ in range(30))
+    rows = [(i, make("abcd") if i % 2 else make("wxyz"), "p" if i % 2 else "q", 1) for i in range(200)] + [(999, None, "p", 1), (1000, "12 !!", None, 1), (None, make("abcd"), "p", 1)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int")).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in got if r.doc_id not in (999, 1000))
+    assert all(r.lang_pred == "und" for r in got if r.doc_id in (999, 1000))
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+
+
+def test_language_model(docs):
+    got = score_texts(docs).collect()
+    assert len(got) == docs.count() and all(r.score <= 0 and r.n_tokens >= 1 and np.isfinite(r.score) for r in got)
+    assert score_texts(docs.limit(0)).count() == 0
+
+
+def test_mixing(docs):
+    got = mix_sources(docs).collect()
+    assert len(got) == docs.count() and all(0 <= r.taken <= 2 * r.size for r in got)
+    total = sum(r.size for r in got)
+    assert abs(sum(r.taken for r in got) - 1.5 * total) < 0.02 * total
+    assert mix_sources(docs.limit(0)).count() == 0
+
+
+def test_chat(spark):
+    t = spark.createDataFrame([(1, 0, "a", "hi"), (1, 1, "b", None), (1, None, None, "x"), (2, 0, "system", "s")], "conv_id long, turn long, role string, text string")
+    got = {(r.perspective, r.part): r for r in rotate_perspectives(t).collect()}
+    assert set(got) == {(p, k) for p in ("a", "b", "unknown") for k in (0, None)}
+    r = got["a", 0]
+    assert r.text == "<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=b\n<|im_end|>\n" and r.text[22:35] == "hi<|im_end|>\n" and r["mask"] == "22:35"
+
+
+def test_html():
+    page = "<body><nav><p>menu</p></nav><article><h1>A&amp;B</h1><p><b>One.<br><p>Two\n words &lt;x&gt;</p></article><div class='comments'>no</div><footer>f</footer>"
+    assert main_text(page) == "A&B\nOne.\nTwo words <x>" and main_text(None) == "" and main_text("<nav>x</nav>") == ""
+
+
+@pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op2_chat_perspectives", "op7_benchmark_decontamination", "op8_substring_dedup", "op10_embedding_near_dedup"])
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
+        con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
+    a, b = registry.QUERIES[name](spark, D).toPandas(), con.sql(registry.ORACLE_SQL[name]).df()
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns)
+    assert sorted(map(str, a[cols].values.tolist())) == sorted(map(str, b[cols].values.tolist()))
