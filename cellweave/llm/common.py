@@ -84,13 +84,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges: columns a, b (bigint).  Returns node, component (the smallest node reachable), one row per node that has an
     edge to another node.  Self-loops, repeats and null ends are ignored; no edges give no rows.  Every round is two
     partial aggregations and two joins on the node, so that no neighbourhood is ever gathered in one row; rounds end
-    when the edge set stops changing (a logarithmic number of them).
+    when the edge set stops changing (a logarithmic number of them).  Up to ROWS_PER_TASK edges need no rounds.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e, seen = cut(e.distinct()), None
     # Tasks of about ROWS_PER_TASK edges first reduce their own edges to stars.
-    e = cut(e.coalesce(tasks_for(e.count())).mapInArrow(_forest, "u bigint, v bigint").distinct())
-    while True:
+    tasks = tasks_for(e.count())
+    stars = e.coalesce(tasks).mapInArrow(_forest, "u bigint, v bigint")
+    e = cut(stars if tasks == 1 else stars.distinct())
+    while tasks > 1:  # the stars of a single task are whole
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (mark.n, mark.h) == seen:
             break
@@ -102,7 +104,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.where("u <> v").distinct())
-    e = e.coalesce(tasks_for(seen[0]))
+    if seen:
+        e = e.coalesce(tasks_for(seen[0]))
     stars = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
