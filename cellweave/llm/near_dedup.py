@@ -6,12 +6,16 @@ so every chunk is indexed six times, each time with another symbol left out (all
 within 21 meet in a bucket.  Pairs that meet at up to ``REACH`` differences go on as well: at similarity 0.8 a pair
 meets with probability 1 - 8e-6.  Links are confirmed on the full sets, so that none is false.
 
-Buckets are never expanded into all pairs.  Texts with equal sets are one node.  In rounds, each bucket compares its
-members with one pivot by their signatures; members that are near hang together from then on, so that a bucket of many near
-copies melts within a round or two.  When the pairs of loosely unconnected members within buckets are few (linear in the
-bucket rows), all of them are compared, so that every pair that meets within ``REACH`` ends in one loose group.  Loose
-groups are then compared exactly: blocks of 256 texts by blocks of 256, their full sets as the rows of a 0/1 matrix whose
-product has all the intersections; a block pair sends on one link for each member at most.
+Buckets are never expanded into all pairs.  Texts with equal sets are one node.  A first round takes whole chunks as keys:
+each bucket compares its members with one pivot by their signatures, and members that are near hang together from then on, so
+that most near copies melt before the full index is made.  Of that, only buckets whose members don't all hang together are
+kept.  As soon as that is linear in the bucket rows, all members of a bucket are compared by signatures, blocks of 256 by
+blocks of 256, so that every pair that meets within ``REACH`` ends in one loose group; until then, buckets melt around pivots.
+
+Loose groups are then compared exactly, on full sets as the rows of a 0/1 matrix whose product has all the intersections.
+First one block of 256 texts meets every block of its group; what is linked by then needs no further links.  Then the texts
+outside the largest part of a group meet all of the group, block by block, so that no pair of unlinked texts is left out.  A
+block pair sends on one link for each member at most.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, prepare, sift, tasks_for
@@ -85,14 +89,21 @@ def _features(k: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """66 index keys of a signature: chunk by chunk, each with one symbol left out."""
-    for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(U)
-        powers = mix(np.arange(1, 1 + SYMBOLS, dtype=U) * U(0x9E3779B97F4A7C15)).reshape(CHUNKS, WIDTH) | U(1)
-        parts = mix(sig + powers) * powers
-        keys = mix(parts.sum(2)[:, :, None] - parts + powers).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS)), pa.array(np.repeat(batch.column(1).to_numpy(), SYMBOLS))], ["key", "rep", "n"])
+def _index(errors: bool):
+    """Index keys of a signature: its 11 chunks, or (with errors) each chunk with one symbol left out, 66 in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(U)
+            powers = mix(np.arange(1, 1 + SYMBOLS, dtype=U) * U(0x9E3779B97F4A7C15)).reshape(CHUNKS, WIDTH) | U(1)
+            parts = mix(sig + powers) * powers
+            total = parts.sum(2)
+            keys = mix(total[:, :, None] - parts + powers if errors else total).reshape(-1)
+            each = SYMBOLS if errors else CHUNKS
+            rest = (pa.array(np.repeat(batch.column(i).to_numpy(), each)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *rest], ["key", "rep", "n", "comp"])
+
+    return run
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +113,40 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
 
+def _meet(percent: int):
+    """Rows (key, i, j, rep, n, sig) sorted by (key, i, j): the members of one block pair of a bucket after another."""
+
+    def settle(reps: list[int], sizes: list[int], sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(reps, kind="stable")
+        rep, n = np.array(reps)[order], np.array(sizes)[order]
+        raw = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SYMBOLS)[order]
+        differ = np.zeros((len(rep), len(rep)), np.int16)
+        for symbols in np.array_split(raw.T, SYMBOLS if len(rep) > 64 else 1):
+            differ += (symbols[:, :, None] != symbols[:, None, :]).sum(0, dtype=np.int16)
+        linked = (differ <= REACH) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+        label = least_reachable(linked)
+        far = label != np.arange(len(label))
+        return rep[label[far]], rep[far]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+        for batch in batches:
+            found = [(np.zeros(0, np.int64),) * 2]
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for *at, rep, n, sig in zip(*columns, strict=True):
+                if at != now:
+                    if len(held[0]) > 1:
+                        found.append(settle(*held))
+                    now, held = at, ([], [], [])
+                for to, x in zip(held, (rep, n, sig), strict=True):
+                    to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+        if len(held[0]) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle(*held)], ["a", "b"])
+
+    return run
+
+
 def shingle_set(text: str | None, k: int) -> set:
     """The set of a text, as tuples of words; near_duplicates links by fingerprints of these."""
     words = (text or "").encode().lower().split()
@@ -189,53 +234,76 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = cut(slim.mapInArrow(_features(shingle), FEATURES))
     reps = cut(features.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"))
-    keys = reps.select("rep", F.col("n_shingles").alias("n"), "sig").mapInArrow(_keys, "key bigint, rep bigint, n bigint")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = cut(keys.join(shared.select("key"), "key"))
+    sigs, index = reps.select("rep", "sig"), "key bigint, rep bigint, n bigint, comp bigint"
+    ratio = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+
+    def with_pivots(placed: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each member of a bucket with one of its members."""
+        pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+        pairs = placed.join(pivot.where("c <> d").select("key", "p"), "key").select("rep", "n", "comp", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_b"))
+        return pairs.where("comp <> comp_b").where(ratio).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        signed = pairs.distinct().join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+        return cut(signed.mapInArrow(_close, "a bigint, b bigint"))
+
+    def located(rows: DataFrame, loose: DataFrame) -> DataFrame:
+        """Rows with the loose component of rep as comp."""
+        return rows.join(loose, rows.rep == loose.node, "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+
+    slots = reps.select("rep", F.col("n_shingles").alias("n"), F.col("rep").alias("comp"), "sig")
+    near = close(with_pivots(slots.mapInArrow(_index(False), index), 0))
+    merged, turn, loose = near.count(), 1, connected_components(near)
+    keys = located(slots.drop("comp"), loose).select("rep", "n", "comp", "sig").mapInArrow(_index(True), index)
+    open_ = keys.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+    buckets = cut(keys.join(open_.select("key"), "key"))
     rows = buckets.count()
-    buckets = buckets.coalesce(tasks_for(rows))
-    sigs = reps.select("rep", "sig")
-    loose, near, merged, turn = None, None, 1, 0
+    placed = buckets = buckets.coalesce(tasks_for(rows))
     while rows:
-        placed = buckets.withColumn("comp", F.col("rep"))
-        if loose is not None:
-            placed = cut(buckets.join(loose, buckets.rep == loose.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-            by = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.expr("c * c")).alias("same"))
-            open_ = by.where("all * all > same").select("key", ((F.expr("all * all") - F.col("same")) / 2).alias("todo"))
-            todo = open_.agg(F.sum("todo")).first()[0]
-            if not todo:
-                break
-            placed = placed.join(open_.select("key"), "key")
-        last = loose is not None and (todo <= 4 * rows or not merged)
-        ratio = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+        by = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+        by = by.select("key", "members", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks"))
+        todo = by.agg(F.sum(F.expr("members * blocks"))).first()[0]
+        if not todo:
+            break
+        last = todo <= 4 * rows or not merged
         if last:
-            other = placed.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-            pairs = placed.join(other, "key").where("rep < b and comp <> comp_b").where(ratio).select(F.col("rep").alias("a"), "b")
+            met = placed.join(by, "key").join(sigs, "rep").withColumn("at", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+            met = met.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            found = cut(met.mapInArrow(_meet(percent), "a bigint, b bigint").distinct())
         else:
-            pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"))
-            pairs = placed.join(pivot, "key").select("rep", "n", "comp", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_b"))
-            pairs = pairs.where("comp <> comp_b").where(ratio).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-        signed = pairs.distinct().join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        found = cut(signed.mapInArrow(_close, "a bigint, b bigint"))
+            found = close(with_pivots(placed, turn))
         merged = found.count()
-        near = found if near is None else near.unionByName(found)
+        near = near.unionByName(found)
         loose = connected_components(near)
         turn += 1
         if last:
             break
-    comp = None
-    if loose is not None:
-        size = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        member = cut(loose.join(size, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "blocks"))
-        texts = sift(slim, member.select("doc_id"), "doc_id").join(member, "doc_id")
-        texts = texts.withColumn("at", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-        dealt = texts.select("g", F.col("doc_id").alias("rep"), "text", "at", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
-        dealt = dealt.select("g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep", "text")
-        grouped = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-        comp = connected_components(grouped.mapInArrow(_exact(shingle, percent), "a bigint, b bigint"))
+        placed = cut(located(buckets.drop("comp"), loose).select("key", "rep", "n", "comp"))
+    member = cut(loose.select(F.col("node").alias("doc_id"), F.col("component").alias("g")))
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        """Links between texts of blocks 0 to first - 1 of a group and all of its texts; dealt: doc_id, g, at, first, blocks."""
+        texts = sift(slim, dealt.select("doc_id"), "doc_id").join(dealt, "doc_id")
+        texts = texts.withColumn("o", F.explode(F.expr("sequence(0, if(at < first, blocks, first) - 1)")))
+        pairs = texts.select("g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.col("doc_id").alias("rep"), "text")
+        grouped = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        return cut(grouped.mapInArrow(_exact(shingle, percent), "a bigint, b bigint"))
+
+    def spread(blocks: str) -> Column:
+        return F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)")
+
+    size = member.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(size, "g").select("doc_id", "g", spread("blocks").alias("at"), F.lit(1).alias("first"), "blocks")
+    links = compared(dealt)
+    part = member.join(connected_components(links).toDF("doc_id", "part"), "doc_id", "left").select("doc_id", "g", F.coalesce("part", "doc_id").alias("part"))
+    # Groups of one block have met themselves in full.
+    part = cut(part.join(size.where("blocks > 1").select("g"), "g"))
+    most = part.groupBy("g", "part").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"))
+    most = most.where("top.c < all").select("g", F.col("top.part").alias("main"), F.expr(f"cast(ceil((all - top.c) / {BLOCK}) as int)").alias("first"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("others"))
+    rest = cut(part.join(most, "g").select("doc_id", "g", F.when(F.col("part") == F.col("main"), F.col("first") + spread("others")).otherwise(spread("first")).alias("at"), "first", F.expr("first + others").alias("blocks")))
+    if rest.count():
+        links = links.unionByName(compared(rest))
+    comp = connected_components(links)
     out = features.join(reps.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
-    if comp is not None:
-        out = out.join(comp, out.rep == comp.node, "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("bigint"))
+    out = out.join(comp, out.rep == comp.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from cellweave.llm import registry
+from cellweave.llm import common, near_dedup, registry
 from cellweave.llm.chat_format import rotate_perspectives
 from cellweave.llm.decontaminate import contamination
 from cellweave.llm.embedding_dedup import embedding_duplicates
@@ -56,6 +56,39 @@ def test_near_duplicates(docs):
     assert near_duplicates(docs.limit(0), 2).count() == 0
 
 
+def test_near_duplicates_of_many_blocks(spark, monkeypatch):
+    """Groups of many blocks, whose texts are linked in chains and partly not at all, in rounds over many tasks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 10)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for i in range(25):
+            other = list(base)
+            for at in rng.sample(range(60), (1, 2, 6)[i % 3]):
+                other[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    rows = [(i, shingle_set(t, 2)) for i, t in enumerate(texts)]
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if 100 * len(x & y) >= 80 * len(x | y)]
+    want = components([a for a, _ in rows], links)
+    assert 3 < len(set(want.values())) < 60
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_connected_components(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(80)]
+    comp = components(range(150), edges)
+    want = {n: comp[n] for e in edges for n in e if e[0] != e[1]}
+    df = spark.createDataFrame([*edges, (None, 1), (7, 7)], "a long, b long")
+    for rows in (100_000, 10):
+        monkeypatch.setattr(common, "ROWS_PER_TASK", rows)
+        assert {r.node: r.component for r in common.connected_components(df).collect()} == want
+    assert common.connected_components(df.limit(0)).count() == 0
+
+
 def test_repeated_windows(docs):
     rows = sorted((r.doc_id, (r.text or "").encode().split()) for r in docs.collect() if r.doc_id is not None)
     seen, want = set(), {}
