@@ -54,9 +54,15 @@ def trim_tail(seq: Column | str, base: str = "A", least: int = 6) -> Column:
 def dust(seq: Column | str) -> Column:
     """Low-complexity score: sum of c (c - 1) / 2 over triplet counts by the number of triplets; null with fewer than 3 bases."""
     s = _c(seq)
-    at = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
-    times = F.transform(F.array_distinct(at), lambda t: F.size(F.filter(at, lambda x: x == t)).cast("double"))
-    pairs = F.aggregate(times, F.lit(0.0), lambda a, n: a + n * (n - 1) / 2)
+    at = F.sort_array(F.regexp_extract_all(s, F.lit("(?s)(?=(...))"), F.lit(1)))
+    # A triplet adds the equal ones before it, which sorting puts next to it: one pass, whatever the length.
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("same"), F.lit(0.0).alias("pairs"))
+
+    def step(a: Column, x: Column) -> Column:
+        same = F.when(a["last"] == x, a["same"] + 1).otherwise(0.0)
+        return F.struct(x.alias("last"), same.alias("same"), (a["pairs"] + same).alias("pairs"))
+
+    pairs = F.aggregate(at, start, step, lambda a: a["pairs"])
     return F.when(F.length(s) >= 3, pairs / (F.length(s) - 2))
 
 

@@ -329,7 +329,8 @@ _SEQ = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 
 @register("sequence_functions", f"CTE s AS (SELECT doc_id, substr({_SEQ}, 1, 40) AS s FROM documents) SELECT doc_id, s, translate(reverse(s), 'ACGT', 'TGCA') AS rc, CASE WHEN length(s) - length(rtrim(s, 'A')) < 6 THEN length(s) WHEN (length(s) - length(rtrim(s, 'A'))) * 2 <= length(s) THEN length(rtrim(s, 'A')) END AS kept, CASE WHEN length(s) >= 3 THEN (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM (SELECT substr(s, CAST(i AS INT), 3) AS t FROM (SELECT unnest(range(1, length(s) - 1)) AS i)) GROUP BY t)) / (length(s) - 2) END AS dust FROM s".replace("CTE s", "WITH s"))
 def sequence_functions(spark, d):
-    s = F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, 40).alias("s")
+    """Over whole texts; the SQL takes the first 40 letters of each."""
+    s = F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s")
     return load(spark, d, "documents").select("doc_id", s).select("doc_id", "s", dna.reverse_complement("s").alias("rc"), dna.trim_tail("s").alias("kept"), dna.dust("s").alias("dust"))
 
 

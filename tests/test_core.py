@@ -1,5 +1,8 @@
 """Operators on hand fixtures, and registered queries against DuckDB."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +96,22 @@ def test_files(spark, tmp_path):
     (tmp_path / "g.gtf").write_text('1\tx\texon\t101\t200\t.\t+\t.\tgene_id "G"; transcript_id "T";\n1\tx\texon\t301\t400\t.\t+\t.\tgene_id "G"; transcript_id "T";\n')
     t = readers.transcripts(readers.gtf(spark, str(tmp_path / "g.gtf"))).first()
     assert (t.lft, t.rgt, len(t.exons), t.coding_start) == (100, 399, 2, None)
+
+
+def test_sequence_functions_whole_texts(spark, tmp_path):
+    """Texts of over 40 bases by brute force: tails and triplets at the far end count."""
+    rng = random.Random(4)
+    texts = ["ACGT" * 20 + "A" * 9, "C" * 50 + "A" * 51, "".join(rng.choices("ACGTacgtNxyz \n", k=3000)), "A" * 500, "ac", "", None, "GATTACA"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["sequence_functions"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert (got[i].s, got[i].rc, got[i].kept, got[i].dust) == (None, None, None, None)
+            continue
+        s = "".join(c for c in text.upper() if c in "ACGT")
+        tail = len(s) - len(s.rstrip("A"))
+        kept = len(s) if tail < 6 else len(s) - tail if 2 * tail <= len(s) else None
+        counts = Counter(s[k : k + 3] for k in range(len(s) - 2))
+        dust = sum(c * (c - 1) / 2 for c in counts.values()) / (len(s) - 2) if len(s) >= 3 else None
+        assert (got[i].s, got[i].rc, got[i].kept) == (s, s[::-1].translate(str.maketrans("ACGT", "TGCA")), kept)
+        assert got[i].dust == (None if dust is None else pytest.approx(dust))
