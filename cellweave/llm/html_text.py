@@ -1,7 +1,10 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree.  Menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and styles
-(by element, or by the words of class, id and role) are taken away.  Every node then has characters C, tags T,
+The page becomes a tree.  Menus, headers, footers, asides, scripts and styles (by element) and hidden elements are taken away.
+Forms, and elements with a boilerplate word in class, id or role, only go if they are small (a quarter of the text, or beside
+a main element or article with no less) or mostly links, and hold neither
+the main element or largest article nor most of the page's text outside links; if all that went by words were most of
+that text, only mostly links go.  Every node then has characters C, tags T,
 characters LC and tags LT inside links, and the density
 
     C / T * log(C / LC * T / LT) / log(log(C * LC / (C - LC) + LC of body / C of body * C + e) + 1)
@@ -34,7 +37,7 @@ BLOCK = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 HOLDS = frozenset("ul ol dl table select menu tbody thead".split())
-DROPPED = frozenset("head nav header footer aside form script style noscript button select textarea iframe template svg object dialog menu input title".split())
+DROPPED = frozenset("head nav header footer aside script style noscript button select textarea iframe template svg object dialog menu input title".split())
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|sidebar\w*|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|notification|"
     r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|comment-?list|respond|replies|disqus|widget\w*|toolbar|pagination|pager|search|complementary|contentinfo|alert|skip)(?:$|[\s_-])",
@@ -44,31 +47,33 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "drop", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "kids", "parent", "drop", "soft", "c", "t", "lc", "lt", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.drop, self.kids = tag, parent, drop, []
+    def __init__(self, tag: str, parent: Node | None, drop: bool = False, soft: bool = False):
+        self.tag, self.parent, self.drop, self.soft, self.kids = tag, parent, drop, soft, []
 
 
-def _dropped(tag: str, attrs: str) -> bool:
+def _dropped(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element goes for certain, and whether its words call it boilerplate."""
     if tag in DROPPED:
-        return True
+        return True, False
+    soft = tag == "form"
     if tag in ("html", "body", "article", "main") or not attrs:
-        return False
+        return False, soft
     for kind, a, b, c, hidden in _ATTR.findall(attrs):
         value = a or b or c
         if hidden or (kind.lower() == "aria-hidden" and value.lower() == "true") or (kind.lower() == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
+            return True, soft
         if kind.lower() in ("class", "id", "role") and _BOILER.search(value):
-            return True
-    return False
+            soft = True
+    return False, soft
 
 
 def parse(page: str) -> Node:
     root = Node("html", None)
     body = Node("body", root)
     root.kids.append(body)
-    at, pos, n = body, 0, len(page)
+    at, pos, n, soft = body, 0, len(page), []
     while pos < n:
         m = _TAG.search(page, pos)
         if m is None:
@@ -107,8 +112,11 @@ def parse(page: str) -> Node:
                 while at.tag in CLOSES[tag]:
                     at = at.parent
         attrs = m[3] or m[6] or ""
-        node = Node(tag, at, at.drop or _dropped(tag, attrs))
+        node = Node(tag, at, *_dropped(tag, attrs))
+        node.drop |= at.drop
         at.kids.append(node)
+        if node.soft and not node.drop:
+            soft.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
             if not node.drop:
@@ -116,11 +124,13 @@ def parse(page: str) -> Node:
             pos = end.end() if end else n
         elif tag not in VOID and not attrs.endswith("/"):
             at = node
+    if soft:
+        _settle(body, soft)
     return body
 
 
-def _measure(body: Node) -> list[Node]:
-    """Kept nodes from the leaves up, with their counts and densities."""
+def _count(body: Node) -> list[tuple[Node, bool]]:
+    """Nodes that aren't dropped, with whether they are in a link, parents first; c, t, lc and lt are set."""
     order, stack = [], [(body, False)]
     while stack:
         node, link = stack.pop()
@@ -134,6 +144,45 @@ def _measure(body: Node) -> list[Node]:
         if node.parent is not None and node is not body:
             p = node.parent
             p.c, p.t, p.lc, p.lt = p.c + node.c, p.t + node.t + 1, p.lc + node.lc, p.lt + node.lt + (node.tag == "a")
+    return order
+
+
+def _above(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def _settle(body: Node, soft: list[Node]) -> None:
+    """Drop what words call boilerplate, unless it holds the page's text; what then stays beside an article or main adds nothing to its parent's sum."""
+    nodes = [x for x, _ in _count(body)]
+    text = body.c - body.lc
+    holders = {x for x in nodes if x.tag == "main" and x.c > x.lc}
+    articles = [x for x in nodes if x.tag == "article" and x.c > x.lc]
+    if articles:
+        holders.add(max(articles, key=lambda x: x.c - x.lc))
+    held = {id(up) for x in holders for up in _above(x)}
+    most = max((x.c - x.lc for x in holders), default=0)
+    small, links = [], []
+    for x in soft:
+        inside = any(up in holders for up in _above(x))
+        x.soft = bool(holders) and not inside and id(x) not in held
+        if id(x) in held or 2 * (x.c - x.lc) > text:
+            continue
+        if 2 * x.lc >= x.c:
+            links.append(x)
+        elif 4 * (x.c - x.lc) <= text or (not inside and x.c - x.lc <= most):
+            small.append(x)
+    gone = {id(x) for x in small}
+    if 2 * sum(x.c - x.lc for x in small if not any(id(up) in gone for up in _above(x))) > text:
+        small = []
+    for x in (*small, *links):
+        x.drop = True
+
+
+def _measure(body: Node) -> list[Node]:
+    """Kept nodes, with their counts and densities."""
+    order = _count(body)
     ratio = body.lc / max(body.c, 1)
     for node, _ in reversed(order):
         c, t, lc, lt = node.c, max(node.t, 1), max(node.lc, 1), max(node.lt, 1)
@@ -142,7 +191,7 @@ def _measure(body: Node) -> list[Node]:
         else:
             base = math.log(math.log(c * node.lc / max(c - node.lc, 1) + ratio * c + math.e) + 1)
             node.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)), 0.0) / base
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.drop)
+        node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.drop and not k.soft)
     return [node for node, _ in order]
 
 

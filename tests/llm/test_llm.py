@@ -181,6 +181,20 @@ def test_html():
     assert main_text(page) == "A&B\nOne.\nTwo words <x>" and main_text(None) == "" and main_text("<nav>x</nav>") == ""
 
 
+def test_html_layout_wrappers():
+    """Boilerplate words on what holds the text, also as one of many or as a form, take nothing away; small parts still go."""
+    words = "Some plain sentence of the page. " * 12
+    inner = f"<div class='share'>tweet it</div><p>{words}</p><ul class='menu'><li><a href='/'>Home</a></li></ul>"
+    for wrap in ("content-sidebar-wrap", "site has-sidebar", "layout-no-sidebar", "post comments-open"):
+        for page in (f"<div class='{wrap}'><main><article>{inner}</article></main></div>", f"<div class='{wrap}'>{inner}</div>"):
+            assert main_text(page) == words.strip()
+    assert main_text(f"<body><form action='/x'><div>{inner}</div></form>") == words.strip()
+    assert main_text("<div>" + f"<div class='post comments-open'><p>{words}</p></div>" * 5 + "</div>") == "\n".join([words.strip()] * 5)
+    long = f"<div class='site has-sidebar'><article><p>{words * 5}</p></article></div><div class='comments'><article>{words}</article></div>"
+    assert main_text(long) == (words * 5).strip()
+    assert main_text(f"<p>{words}</p><form>Search <input></form>") == words.strip()
+
+
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op2_chat_perspectives", "op7_benchmark_decontamination", "op8_substring_dedup", "op10_embedding_near_dedup"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
