@@ -10,8 +10,8 @@ characters LC and tags LT inside links, and the density
     C / T * log(C / LC * T / LT) / log(log(C * LC / (C - LC) + LC of body / C of body * C + e) + 1)
 
 with counts of zero taken as one.  The subtree whose children's densities have the greatest sum is the main text.  The least
-density on the path from it to the body is the threshold: a parent below the body takes the subtree's place as long as its
-other children with text reach the threshold, and the enclosing article or main element, if there is one, is taken whole.
+density on the path from it to the body is the threshold: every branch beside the path that reaches it is main text too, with
+what lies between such branches and isn't mostly links, and headings right before them.  The enclosing article or main element, if there is one, is taken whole.
 """
 
 from __future__ import annotations
@@ -195,6 +195,41 @@ def _measure(body: Node) -> list[Node]:
     return [node for node, _ in order]
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
+def _parts(parent: Node, path: Node, threshold: float) -> tuple[list, list[bool]]:
+    """What a node on the path holds (elements with text, and strings), and which of it belongs to the main text.
+
+    Branches that reach the threshold do, with the one on the path; so does what lies between two of them and is not
+    mostly links, and a heading right before one.  If all elements do, all strings do.
+    """
+    kids = [k for k in parent.kids if (k.strip() if isinstance(k, str) else not k.drop and k.c)]
+    keep = [isinstance(k, Node) and (k is path or k.density >= threshold) for k in kids]
+    if all(x or isinstance(k, str) for k, x in zip(kids, keep, strict=True)):
+        return kids, [True] * len(kids)
+    at = [i for i, x in enumerate(keep) if x]
+    for i in range(at[0], at[-1]):
+        keep[i] = keep[i] or isinstance(kids[i], str) or 2 * kids[i].lc < kids[i].c
+    for i in reversed(range(len(kids) - 1)):
+        if keep[i + 1] and isinstance(kids[i], Node) and kids[i].tag in HEADINGS and 2 * kids[i].lc < kids[i].c:
+            keep[i] = True
+    return kids, keep
+
+
+def _spread(path: Node, threshold: float) -> bool:
+    """Whether the main text takes in more of the parent than this branch, or all that it holds."""
+    kids, keep = _parts(path.parent, path, threshold)
+    return all(keep) or sum(keep) > 1
+
+
+def _strip(path: Node, threshold: float) -> None:
+    """Take from the parent what isn't main text."""
+    kids, keep = _parts(path.parent, path, threshold)
+    gone = {id(k) for k, x in zip(kids, keep, strict=True) if not x}
+    path.parent.kids = [k for k in path.parent.kids if id(k) not in gone]
+
+
 def main_node(body: Node) -> Node:
     nodes = _measure(body)
     best = max(nodes, key=lambda x: x.total)  # the first in page order, of equals
@@ -209,10 +244,13 @@ def main_node(body: Node) -> Node:
         return around[-1]
     if best is not body:
         threshold = min(x.density for x in (*path, body))
-        while best.parent is not body and all(k.density >= threshold for k in best.parent.kids if isinstance(k, Node) and not k.drop and k.c):
-            best = best.parent
-        if best.parent is body and all(k.density >= threshold for k in body.kids if isinstance(k, Node) and not k.drop and k.c):
-            best = body
+        top = best
+        for x in path:
+            if _spread(x, threshold):
+                top = x.parent
+        for x in path[: path.index(top)] if top in path else path if top is body else []:
+            _strip(x, threshold)
+        return top
     return best
 
 

@@ -195,6 +195,18 @@ def test_html_layout_wrappers():
     assert main_text(f"<p>{words}</p><form>Search <input></form>") == words.strip()
 
 
+def test_html_sections():
+    """Sections of unlike density with a title, a caption between them and links beside them: all sections stay, links go."""
+    p = lambda c: f"<p>{(c * 9 + ' ') * 40}</p>"
+    text = lambda x: x[3:-4].strip()
+    links = "<div><a href='/1'>one more page</a> <a href='/2'>another page</a></div>"
+    page = f"<body><div><h1>Thirty letters make this title</h1><div>{p('a') * 10}</div><div>A short caption</div><div>{p('b') * 8}</div>{links}</div><div>{links}</div>"
+    want = ["Thirty letters make this title", *[text(p("a"))] * 10, "A short caption", *[text(p("b"))] * 8]
+    assert main_text(page) == "\n".join(want)
+    apart = f"<body><div><div>{p('a') * 10}</div>{links}</div><div>{p('b') * 8}</div>{links}"
+    assert main_text(apart) == "\n".join([*[text(p("a"))] * 10, *[text(p("b"))] * 8])
+
+
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op2_chat_perspectives", "op7_benchmark_decontamination", "op8_substring_dedup", "op10_embedding_near_dedup"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
