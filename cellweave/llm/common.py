@@ -138,6 +138,17 @@ def without_rows(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return marked.where("not map_bit").drop("map_bit").unionByName(rest)
 
 
+def once_rows(rows: DataFrame, ids: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """The rows, but of those whose key is among ids only one for equal values of by: that with the least other columns.
+
+    No row of another key goes as long as its by is its own; hot keys are merged before they are shuffled.
+    """
+    marked = _mapped(rows, ids, key, "left")
+    others = [c for c in rows.columns if c not in by]
+    one = marked.where("map_bit").groupBy(*by).agg(F.min(F.struct(*others)).alias("o")).select(*by, *(F.col(f"o.{c}").alias(c) for c in others))
+    return marked.where("not map_bit").drop("map_bit").unionByName(one.select(rows.columns))
+
+
 def wanted_rows(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among ids: sifted, then semi-joined."""
     return sift(rows, ids, key).join(ids.distinct(), key, "left_semi")

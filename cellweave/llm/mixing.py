@@ -62,19 +62,19 @@ def _solve(hist: DataFrame, src: DataFrame, tolerance: float, rounds: int) -> Da
     return state.select("key", "lam", "mean")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken of every document row.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken of every document row, after the columns named by carry.
 
     Size: words (runs of anything but ASCII white space) of the text, 0 for null.  Sources by code point, null last (a
     source of its own), take the weights in turn.  A source's copies miss its target by half a document at most.  Sources
     without words have target 0; documents without words have rate and copies as the others' formula says and take 0.  Equal
     rows are separate documents with the same rate; ties are broken by id and size, so that reruns agree.  Other columns
-    are not read; an empty table gives no rows.
+    than those of carry (none named as one of this operator's) are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    sized = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn("key", key))
+    sized = cut(docs.select(*carry, F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn("key", key))
     src = cut(source_targets(sized, weights, share))
     hist = cut(sized.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")))
     src = cut(src.join(_solve(hist, src, 1e-9, 60), "key", "left"))
@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     rated = rated.withColumn("whole", F.expr("if(rate >= 2 - 1e-12, 2, floor(rate))")).withColumn("part", F.expr("greatest(rate - whole, 0d)"))
     dice = F.expr("(pmod(xxhash64(doc_id, 'mix'), 4503599627370496) + 0.5d) / 4503599627370496d")
     rated = rated.withColumn("turn", F.when((F.col("part") > 0) & (F.col("size") > 0), dice / (dice + F.col("part"))))
-    rated = cut(rated.withColumn("bin", F.floor(F.col("turn") * BINS)).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "key", "size", "source_size", "target", "rate", "whole", "turn", "bin"))
+    rated = cut(rated.withColumn("bin", F.floor(F.col("turn") * BINS)).withColumn("row", F.monotonically_increasing_id()).select(*carry, "row", "doc_id", "key", "size", "source_size", "target", "rate", "whole", "turn", "bin"))
     lack = rated.groupBy("key").agg((F.first("target") - F.sum(F.expr("whole * size"))).alias("lack"))
     bins = rated.where("turn is not null").groupBy("key", "bin").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("key").orderBy("bin")
@@ -99,10 +99,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     inner = Window.partitionBy("key").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     near = marked.where("bin = edge").withColumn("sofar", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     near = near.withColumn("extra", F.expr("if(sofar + size / 2 <= lack, 1, 0)")).drop("sofar")
-    out = cut(sure.unionByName(near).withColumn("copies", F.expr("cast(whole + coalesce(extra, 0) as int)")).select("row", "doc_id", "key", "size", "source_size", "target", "rate", "copies"))
+    out = cut(sure.unionByName(near).withColumn("copies", F.expr("cast(whole + coalesce(extra, 0) as int)")).select(*carry, "row", "doc_id", "key", "size", "source_size", "target", "rate", "copies"))
     gap = out.groupBy("key").agg((F.first("target") - F.sum(F.expr("copies * size"))).alias("gap"))
     able = by_source(out, gap).where(f"size > 0 and if(gap > 0, copies < {MOST}, copies > 0)")
     best = able.groupBy("key").agg(F.min(F.struct(F.expr("abs(size - abs(gap))").alias("left"), "doc_id", "row", "gap")).alias("b"))
     best = best.where("b.left < abs(b.gap)").select("key", F.col("b.row").alias("fixed"), F.expr("cast(sign(b.gap) as int)").alias("more"))
     out = by_source(out, best, "left").withColumn("copies", F.expr("copies + if(row = fixed, more, 0)"))
-    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", F.expr("cast(copies * size as bigint)").alias("taken"))
+    return out.select(*carry, "doc_id", "size", "source_size", "target", "rate", "copies", F.expr("cast(copies * size as bigint)").alias("taken"))

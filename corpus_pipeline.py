@@ -2,16 +2,20 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and
 read again as the next one's docs.  All but the last return the columns of documents.  ``run`` applies them in turn.
+
+Every stage judges rows, not ids: rows without an id (or with nulls elsewhere) stay unless their own text is turned down.
+near_dedup leaves one of the rows that repeat an id and its text; it does not compare rows without an id, nor those of an id
+with several texts, which all stay.  The other stages treat repeated rows one by one.
 """
 
 from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import prepare, table, without_rows
+from cellweave.llm.common import cut, once_rows, prepare, table, without_rows
 from cellweave.llm.decontaminate import contamination
 from cellweave.llm.language_id import annotate, held_out, learn
 from cellweave.llm.mixing import mix_sources
@@ -23,6 +27,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with an id of their own, row_id, written to the shared checkpoint folder so that it stays the same."""
+    prepare(spark)
+    return cut(docs.select(COLUMNS).withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").isNull(), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter (und) and without a likely language go."""
     prepare(spark)
@@ -32,14 +46,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the least id."""
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    return without_rows(docs.select(COLUMNS), groups.where("not kept").select("doc_id"), "doc_id").select(COLUMNS)
+    prepare(spark)
+    docs = docs.select(COLUMNS)
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_text_hash()).alias("a"), F.max(_text_hash()).alias("b"))
+    repeated = cut(ids.where("n > 1").select("doc_id", F.expr("a <> b").alias("clash")))
+    docs = once_rows(docs, repeated.select("doc_id"), "doc_id", ["doc_id", "text"])
+    groups = near_duplicates(without_rows(docs, repeated.where("clash").select("doc_id"), "doc_id"), shingle=5, percent=80)
+    return without_rows(docs, groups.where("not kept").select("doc_id"), "doc_id").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"), spans=False)
-    return without_rows(docs.select(COLUMNS), found.where("contaminated").select("doc_id"), "doc_id").select(COLUMNS)
+    rows = _numbered(spark, docs)
+    found = contamination(rows, table(spark, sf_dir, "benchmark"), spans=False, id_col="row_id")
+    return without_rows(rows, found.where("contaminated").select(F.col("doc_id").alias("row_id")), "row_id").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +70,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture takes, with size, copies (1 or 2) and taken (words, repeats counted)."""
-    mixed = mix_sources(docs).where("copies > 0").select("doc_id", "size", "copies", "taken")
-    return docs.select(COLUMNS).join(mixed, "doc_id")
+    rows = _numbered(spark, docs)
+    mixed = mix_sources(rows, carry=("row_id",)).where("copies > 0").select("row_id", "size", "copies", "taken")
+    return rows.join(mixed, "row_id").select(*COLUMNS, "size", "copies", "taken")
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("mixture", mixture)]

@@ -3,11 +3,13 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from cellweave.llm import common, near_dedup, registry
 from cellweave.llm.chat_format import rotate_perspectives
 from cellweave.llm.decontaminate import contamination
@@ -168,6 +170,29 @@ def test_mixing(docs):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    """Rows without an id go through all stages; repeated rows stay single and don't multiply; ids with two texts lose neither."""
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    leak, bench = text(), f"{tmp_path}/benchmark.parquet"
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(bench)
+    twin, near = text(), text()
+    rows = [(i, text()) for i in range(20)] + [(None, text()) for _ in range(5)] + [(50, twin)] * 6
+    rows += [(60, near), (61, near), (62, near), (62, text()), (None, leak), (70, leak), (70, text()), (80, None)]
+    docs = spark.createDataFrame([(i, t, None if n % 5 == 0 else "en", None if n % 3 == 0 else "s", len(t or "")) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    want = Counter(set(rows)) - Counter([(61, near)])
+    one = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert one.columns == corpus_pipeline.COLUMNS and count(one) == want
+    clean = corpus_pipeline.decontamination(spark, one, str(tmp_path))
+    assert count(clean) == want - Counter([(None, leak), (70, leak)])
+    many = docs.where("text is not null")
+    mixed, direct = corpus_pipeline.mixture(spark, many, str(tmp_path)), mix_sources(many)
+    key = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.size, r.copies, r.taken) for r in df.where("copies > 0").collect())
+    assert key(mixed) == key(direct) and any(r.doc_id is None for r in mixed.collect())
+    assert not count(mixed) - count(many) and sum(r.doc_id == 50 for r in mixed.collect()) > 1
+
+
 def test_chat(spark):
     t = spark.createDataFrame([(1, 0, "a", "hi"), (1, 1, "b", None), (1, None, None, "x"), (2, 0, "system", "s")], "conv_id long, turn long, role string, text string")
     got = {(r.perspective, r.part): r for r in rotate_perspectives(t).collect()}
