@@ -9,13 +9,16 @@ meets with probability 1 - 8e-6.  Links are confirmed on the full sets, so that
 Buckets are never expanded into all pairs.  Texts with equal sets are one node.  A first round takes whole chunks as keys:
 each bucket compares its members with one pivot by their signatures, and members that are near hang together from then on, so
 that most near copies melt before the full index is made.  Of that, only buckets whose members don't all hang together are
-kept.  As soon as that is linear in the bucket rows, all members of a bucket are compared by signatures, blocks of 256 by
-blocks of 256, so that every pair that meets within ``REACH`` ends in one loose group; until then, buckets melt around pivots.
+kept.  Their members are dealt into blocks of 256 and compared by signatures within each block.  In buckets of several blocks
+that still don't hang together, the members outside the largest part then meet all blocks, so that every pair that meets
+within ``REACH`` ends in one loose group.
 
 Loose groups are then compared exactly, on full sets as the rows of a 0/1 matrix whose product has all the intersections.
 First one block of 256 texts meets every block of its group; what is linked by then needs no further links.  Then the texts
-outside the largest part of a group meet all of the group, block by block, so that no pair of unlinked texts is left out.  A
-block pair sends on one link for each member at most.
+outside the largest part of a group meet all of the group, block by block, so that no pair of unlinked texts is left out.
+
+A block pair sends on links between parts that did not hang together before, a tree of them, never pairs of members.  Sides
+of joins that a hot bucket or group may dominate are written first, so that Spark can split the other side of such a key.
 """
 
 from __future__ import annotations
@@ -113,35 +116,43 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
 
+def _tree(comps: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components (comps: that of each member) that a symmetric matrix of linked members joins: a tree of them."""
+    kinds, of = np.unique(comps, return_inverse=True)
+    u, v = np.nonzero(linked)
+    joined = np.zeros((len(kinds), len(kinds)), bool)
+    joined[of[u], of[v]] = True
+    label = least_reachable(joined)
+    far = label != np.arange(len(label))
+    return kinds[label[far]], kinds[far]
+
+
 def _meet(percent: int):
-    """Rows (key, i, j, rep, n, sig) sorted by (key, i, j): the members of one block pair of a bucket after another."""
-
-    def settle(reps: list[int], sizes: list[int], sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(reps, kind="stable")
-        rep, n = np.array(reps)[order], np.array(sizes)[order]
-        raw = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SYMBOLS)[order]
-        differ = np.zeros((len(rep), len(rep)), np.int16)
-        for symbols in np.array_split(raw.T, SYMBOLS if len(rep) > 64 else 1):
+    """Rows (key, i, j, comp, n, sig) sorted by (key, i, j): the members of one block pair of a bucket after another."""
+
+    def settle(comps: list[int], sizes: list[int], sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array(sizes)
+        raw = np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SYMBOLS)
+        differ = np.zeros((len(n), len(n)), np.int16)
+        for symbols in np.array_split(raw.T, SYMBOLS if len(n) > 64 else 1):
             differ += (symbols[:, :, None] != symbols[:, None, :]).sum(0, dtype=np.int16)
         linked = (differ <= REACH) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-        label = least_reachable(linked)
-        far = label != np.arange(len(label))
-        return rep[label[far]], rep[far]
+        return _tree(np.array(comps), linked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [], [])
         for batch in batches:
             found = [(np.zeros(0, np.int64),) * 2]
             columns = [batch.column(c).to_pylist() for c in range(6)]
-            for *at, rep, n, sig in zip(*columns, strict=True):
+            for *at, comp, n, sig in zip(*columns, strict=True):
                 if at != now:
-                    if len(held[0]) > 1:
+                    if len(set(held[0])) > 1:
                         found.append(settle(*held))
                     now, held = at, ([], [], [])
-                for to, x in zip(held, (rep, n, sig), strict=True):
+                for to, x in zip(held, (comp, n, sig), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-        if len(held[0]) > 1:
+        if len(set(held[0])) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in settle(*held)], ["a", "b"])
 
     return run
@@ -192,17 +203,13 @@ def least_reachable(linked: np.ndarray) -> np.ndarray:
 
 
 def _exact(k: int, percent: int):
-    """Rows sorted by (g, i, j): the texts of one block pair after another."""
+    """Rows (g, i, j, part, text) sorted by (g, i, j): the texts of one block pair after another."""
 
-    def settle(reps: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        order = np.argsort(reps)
-        rep = np.array(reps)[order]
-        label = least_reachable(links_within([sets[o] for o in order], percent))
-        far = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(rep[label[far]]), pa.array(rep[far])], ["a", "b"])
+    def settle(parts: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _tree(np.array(parts), links_within(sets, percent))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sets = None, [], []
+        now, parts, sets = None, [], []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
             ids = batch.column(3).to_pylist()
@@ -211,13 +218,13 @@ def _exact(k: int, percent: int):
                 cuts = np.searchsorted(row, np.arange(len(offsets)))
                 for r in range(len(offsets) - 1):
                     if keys[first + r] != now:
-                        if len(reps) > 1:
-                            yield settle(reps, sets)
-                        now, reps, sets = keys[first + r], [], []
-                    reps.append(ids[first + r])
+                        if len(set(parts)) > 1:
+                            yield settle(parts, sets)
+                        now, parts, sets = keys[first + r], [], []
+                    parts.append(ids[first + r])
                     sets.append(np.unique(x[cuts[r] : cuts[r + 1]]))
-        if len(reps) > 1:
-            yield settle(reps, sets)
+        if len(set(parts)) > 1:
+            yield settle(parts, sets)
 
     return run
 
@@ -237,10 +244,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sigs, index = reps.select("rep", "sig"), "key bigint, rep bigint, n bigint, comp bigint"
     ratio = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
 
-    def with_pivots(placed: DataFrame, turn: int) -> DataFrame:
+    def with_pivots(placed: DataFrame) -> DataFrame:
         """Pairs of each member of a bucket with one of its members."""
-        pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
-        pairs = placed.join(pivot.where("c <> d").select("key", "p"), "key").select("rep", "n", "comp", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_b"))
+        pivot = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "comp")).alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+        pairs = placed.join(cut(pivot.where("c <> d").select("key", "p")), "key").select("rep", "n", "comp", F.col("p.rep").alias("b"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_b"))
         return pairs.where("comp <> comp_b").where(ratio).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -251,58 +258,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         """Rows with the loose component of rep as comp."""
         return rows.join(loose, rows.rep == loose.node, "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
 
+    def blocks_of(n: str, word: str) -> Column:
+        return F.expr(f"cast(pmod(xxhash64({word}), {n}) as int)")
+
+    def dealt_anew(rows: DataFrame, key: str, word: str, comp: str) -> DataFrame:
+        """Rows of the buckets or groups whose members are of several parts: those outside the largest part are in the blocks
+        0 to first - 1, the others in the blocks behind them; the blocks that a row meets are exploded as o."""
+        most = rows.groupBy(key, comp).agg(F.count("*").alias("c")).groupBy(key).agg(F.max(F.struct("c", comp)).alias("top"), F.sum("c").alias("every")).where("top.c < every")
+        most = cut(most.select(key, F.col(f"top.{comp}").alias("main"), F.expr(f"cast(ceil((every - top.c) / {BLOCK}) as int)").alias("first"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("others")))
+        placed = rows.join(most, key).withColumn("at", F.when(F.col(comp) == F.col("main"), F.col("first") + blocks_of("others", word)).otherwise(blocks_of("first", word)))
+        return placed.withColumn("o", F.explode(F.expr("sequence(0, if(at < first, first + others, first) - 1)")))
+
     slots = reps.select("rep", F.col("n_shingles").alias("n"), F.col("rep").alias("comp"), "sig")
-    near = close(with_pivots(slots.mapInArrow(_index(False), index), 0))
-    merged, turn, loose = near.count(), 1, connected_components(near)
+    near = close(with_pivots(slots.mapInArrow(_index(False), index)))
+    loose = connected_components(near)
     keys = located(slots.drop("comp"), loose).select("rep", "n", "comp", "sig").mapInArrow(_index(True), index)
-    open_ = keys.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
-    buckets = cut(keys.join(open_.select("key"), "key"))
+    open_ = cut(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key", "members"))
+    buckets = cut(keys.join(open_, "key").select("key", "rep", "n", "comp", "members"))
     rows = buckets.count()
-    placed = buckets = buckets.coalesce(tasks_for(rows))
-    while rows:
-        by = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
-        by = by.select("key", "members", F.expr(f"cast(ceil(members / {BLOCK}) as int)").alias("blocks"))
-        todo = by.agg(F.sum(F.expr("members * blocks"))).first()[0]
-        if not todo:
-            break
-        last = todo <= 4 * rows or not merged
-        if last:
-            met = placed.join(by, "key").join(sigs, "rep").withColumn("at", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-            met = met.select("key", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "rep", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            found = cut(met.mapInArrow(_meet(percent), "a bigint, b bigint").distinct())
-        else:
-            found = close(with_pivots(placed, turn))
-        merged = found.count()
-        near = near.unionByName(found)
+
+    def meet(placed: DataFrame) -> DataFrame:
+        signed = placed.join(sigs, "rep").select("key", "i", "j", "comp", "n", "sig")
+        return cut(signed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet(percent), "a bigint, b bigint").distinct())
+
+    if rows:
+        buckets = buckets.coalesce(tasks_for(rows))
+        near = near.unionByName(meet(buckets.withColumn("i", blocks_of(f"ceil(members / {BLOCK})", "rep")).withColumn("j", F.col("i"))))
         loose = connected_components(near)
-        turn += 1
-        if last:
-            break
-        placed = cut(located(buckets.drop("comp"), loose).select("key", "rep", "n", "comp"))
+        wide = located(buckets.where(f"members > {BLOCK}").drop("comp"), loose)
+        found = meet(dealt_anew(wide, "key", "rep", "comp").withColumn("i", F.least("at", "o")).withColumn("j", F.greatest("at", "o")))
+        if not found.isEmpty():
+            near = near.unionByName(found)
+            loose = connected_components(near)
     member = cut(loose.select(F.col("node").alias("doc_id"), F.col("component").alias("g")))
 
     def compared(dealt: DataFrame) -> DataFrame:
-        """Links between texts of blocks 0 to first - 1 of a group and all of its texts; dealt: doc_id, g, at, first, blocks."""
-        texts = sift(slim, dealt.select("doc_id"), "doc_id").join(dealt, "doc_id")
-        texts = texts.withColumn("o", F.explode(F.expr("sequence(0, if(at < first, blocks, first) - 1)")))
-        pairs = texts.select("g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.col("doc_id").alias("rep"), "text")
-        grouped = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-        return cut(grouped.mapInArrow(_exact(shingle, percent), "a bigint, b bigint"))
-
-    def spread(blocks: str) -> Column:
-        return F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)")
-
-    size = member.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(size, "g").select("doc_id", "g", spread("blocks").alias("at"), F.lit(1).alias("first"), "blocks")
-    links = compared(dealt)
-    part = member.join(connected_components(links).toDF("doc_id", "part"), "doc_id", "left").select("doc_id", "g", F.coalesce("part", "doc_id").alias("part"))
+        """Links between the parts of a group whose texts share a block pair; dealt: doc_id, g, part, at, o."""
+        pairs = sift(slim, dealt.select("doc_id"), "doc_id").join(dealt, "doc_id").select("g", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), "part", "text")
+        return cut(pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_exact(shingle, percent), "a bigint, b bigint"))
+
+    size = cut(member.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    dealt = member.join(size, "g", "left").select("doc_id", "g", F.col("doc_id").alias("part"), F.coalesce(blocks_of("blocks", "doc_id"), F.lit(0)).alias("at"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    links = compared(dealt.withColumn("o", F.explode(F.expr("sequence(0, if(at < 1, blocks, 1) - 1)"))))
     # Groups of one block have met themselves in full.
-    part = cut(part.join(size.where("blocks > 1").select("g"), "g"))
-    most = part.groupBy("g", "part").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"))
-    most = most.where("top.c < all").select("g", F.col("top.part").alias("main"), F.expr(f"cast(ceil((all - top.c) / {BLOCK}) as int)").alias("first"), F.expr(f"cast(ceil(top.c / {BLOCK}) as int)").alias("others"))
-    rest = cut(part.join(most, "g").select("doc_id", "g", F.when(F.col("part") == F.col("main"), F.col("first") + spread("others")).otherwise(spread("first")).alias("at"), "first", F.expr("first + others").alias("blocks")))
-    if rest.count():
-        links = links.unionByName(compared(rest))
+    parts = cut(connected_components(links).toDF("doc_id", "part"))
+    part = member.join(parts, "doc_id", "left").select("doc_id", "g", F.coalesce("part", "doc_id").alias("part"))
+    part = cut(part.join(size.select("g"), "g"))
+    if not part.isEmpty():
+        links = links.unionByName(compared(cut(dealt_anew(part, "g", "doc_id", "part"))))
     comp = connected_components(links)
     out = features.join(reps.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"], "left")
     out = out.join(comp, out.rep == comp.node, "left")
