@@ -23,8 +23,8 @@ from cellweave.llm.near_dedup import near_duplicates
 from cellweave.llm.secrets import find_secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents without a letter go, and those whose language is no likelier than this (less than a half: two close languages stay).
-LEAST_SCORE = 0.3
+#: Documents go if a smaller share of their words than this is known in some language, or has known n-grams of three letters or more.
+LEAST_TOLD = 0.2
 
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -38,14 +38,23 @@ def _text_hash() -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter (und) and without a likely language go."""
+    """Documents with a language; those without a letter (und), of null text too, and those in a language that nothing was learned of go.
+
+    Learns from the documents that op9 learns from.  Without any labelled document no language is known, and nothing can be told
+    apart: then only documents without a letter go.
+    """
     prepare(spark)
     model = learn(docs.where(~held_out()).select("doc_id", "lang", "text"))
-    return annotate(docs.select(COLUMNS), model).where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}").select(COLUMNS)
+    if not model["langs"]:
+        return docs.select(COLUMNS).where(F.col("text").rlike(r"\p{L}"))
+    return annotate(docs.select(COLUMNS), model).where(f"lang_pred <> 'und' and told >= {LEAST_TOLD}").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the least id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the least id.
+
+    Null and blank texts are near nothing and stay; of rows that repeat an id and its text one stays, that with the least other columns.
+    """
     prepare(spark)
     docs = docs.select(COLUMNS)
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(_text_hash()).alias("a"), F.max(_text_hash()).alias("b"))
@@ -56,20 +65,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that hold no whole window (13 words) of the benchmark, and of shorter items less than one word in 20.
+
+    Null texts stay; an empty benchmark takes nothing away.
+    """
     rows = _numbered(spark, docs)
     found = contamination(rows, table(spark, sf_dir, "benchmark"), spans=False, id_col="row_id")
-    return without_rows(rows, found.where("contaminated").select(F.col("doc_id").alias("row_id")), "row_id").select(COLUMNS)
+    return without_rows(rows, found.where("n_whole > 0 or contaminated").select(F.col("doc_id").alias("row_id")), "row_id").select(COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by [SECRET] (n_chars follows)."""
+    """All documents, with their secrets replaced by [SECRET] (n_chars follows); null texts stay null."""
     found = find_secrets(docs.select(COLUMNS), redact=True)
     return found.select("doc_id", F.coalesce("redacted", "text").alias("text"), "lang", "source", F.expr("if(redacted is null, n_chars, length(redacted))").cast("bigint").alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, with size, copies (1 or 2) and taken (words, repeats counted)."""
+    """The documents that the mixture takes, with size, copies (1 or 2) and taken (words, repeats counted).
+
+    A null source is a source of its own; texts without words count nothing, and stay as their source's rate has it.
+    """
     rows = _numbered(spark, docs)
     mixed = mix_sources(rows, carry=("row_id",)).where("copies > 0").select("row_id", "size", "copies", "taken")
     return rows.join(mixed, "row_id").select(*COLUMNS, "size", "copies", "taken")
