@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-Two first-order models over the characters of tokens, one of random strings and one of ordinary tokens, are trained from
+Two first-order models over the characters of tokens, one of random strings and one of ordinary identifiers, are trained from
 labelled samples; a token of ``SHORTEST`` characters or more is a secret if the ratio is high in total and by character.
-Without samples of one's own, the labels come from the corpus itself: what the fixed patterns find is random, all other
-tokens are ordinary; transitions are counted over all documents, so that the model is two tables of fixed size.
+Without samples of one's own, ``labelled_samples`` makes them: strings drawn from the alphabets that keys are written in are
+random, identifiers put together from common words and numbers are ordinary.  What the corpus calls ordinary is learned as well: the
+transitions of all tokens of all documents but those that the fixed patterns find count for the ordinary model.  The
+model is two tables of fixed size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -53,12 +56,61 @@ def base_spans(raw: bytes, data: np.ndarray | None = None) -> list[tuple[int, in
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def transitions(raw: bytes) -> np.ndarray:
-    """Counts of pairs of symbols, with an outside symbol before and after."""
-    code = np.concatenate(([0], _CODE[np.frombuffer(raw, np.uint8)], [0])).astype(np.int32)
+def runs_within(mask: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """[start, end) of maximal runs of at least so many trues that end at the borders of rows."""
+    n = len(mask)
+    start, end = mask.copy(), mask.copy()
+    start[1:] &= ~mask[:-1]
+    end[:-1] &= ~mask[1:]
+    first, last = offsets[:-1][offsets[:-1] < n], offsets[1:][offsets[1:] > 0] - 1
+    start[first] |= mask[first]
+    end[last] |= mask[last]
+    pairs = np.stack((np.flatnonzero(start), np.flatnonzero(end) + 1), 1)
+    return pairs[pairs[:, 1] - pairs[:, 0] >= least]
+
+
+def transitions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of pairs of symbols, with an outside symbol before and after each row."""
+    code = np.insert(_CODE[data], offsets, 0).astype(np.int32)
     return np.bincount(code[:-1] * SYMBOLS + code[1:], minlength=SYMBOLS * SYMBOLS)
 
 
+def _of_token(raw: bytes) -> np.ndarray:
+    return transitions(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+
+
+#: Random and ordinary strings of the labelled sample, of each kind.
+SAMPLES = 4000
+#: Words that identifiers are often made of.
+COMMON = """account action address array async attribute base batch block body buffer button cache call cell channel char check
+child class client close code collection color column command config connection container content context control copy count
+create current customer data database date default delete description device document domain element email enable engine entry
+error event example exception export factory field file filter find first flag folder format frame function group handler hash
+header height image import index info input instance item iterator job key label language last layer length level library
+limit line link list load local location login manager map mapping match max message method model module name network next node
+number object offset option order output owner package page param parent parse password path pattern payment period person phone
+point policy port position prefix price print process product profile program project property provider query queue random range
+read record reference region register release remove render report request reset resource response result return role root route
+row rule sample save scale schema scope score screen script search section select sequence server service session set size
+sort source space start state status step storage store stream string style summary system table target task template test text
+thread time title token total transaction transform type unit update upload user validate value vector version view visible
+width window word write""".split()
+
+
+def labelled_samples(seed: int = 11) -> list[tuple[str, bool]]:
+    """(text, label): strings drawn letter by letter from the alphabets of keys, and identifiers in the usual spellings, numbers and paths."""
+    rng = random.Random(seed)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [digits + "abcdef", digits + "ABCDEF", lower + digits, lower.upper() + digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "+/", lower + lower.upper() + digits + "-_"]
+    out = [("".join(rng.choices(letters, k=rng.randint(SHORTEST, 64))), True) for letters in alphabets for _ in range(SAMPLES)]
+    spell = [
+        "_".join, "-".join, "/".join, "".join, lambda w: "_".join(w).upper(), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "".join(x.title() for x in w), lambda w: w[0].upper() + "".join(x.title() for x in w[1:]),
+        lambda w: "_".join(w) + str(rng.randint(0, 9999)), lambda w: "-".join(w) + f"-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}",
+    ]
+    out += [(f(rng.choices(COMMON, k=rng.randint(1, 5))), False) for f in spell for _ in range(SAMPLES)]
+    return out + [("".join(rng.choices(digits, k=rng.randint(4, 24))), False) for _ in range(SAMPLES)]
+
+
 def _rows(counts: dict[bool, np.ndarray]) -> pa.RecordBatch:
     out: list[np.ndarray] = [[], [], []]
     for label, c in counts.items():
@@ -68,37 +120,33 @@ def _rows(counts: dict[bool, np.ndarray]) -> pa.RecordBatch:
 
 
 def _from_corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = {label: np.zeros(SYMBOLS * SYMBOLS, np.int64) for label in (False, True)}
+    """Transitions of all tokens but those that the patterns find."""
+    counts = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     for batch in batches:
         for _, data, offsets in slices(batch.column(0)):
-            counts[False] += transitions(data.tobytes())
-            for a, b in _docs_to_scan(data, offsets):
+            counts += transitions(data, offsets)
+            for r in _rows_to_scan(data, offsets).tolist():
+                a, b = int(offsets[r]), int(offsets[r + 1])
                 raw = data[a:b].tobytes()
                 for start, end, kind in base_spans(raw, data[a:b]):
-                    token = ASSIGN.match(raw, start)[1] if kind == 0 else raw[start:end]
-                    part = transitions(token)
-                    counts[True] += part
-                    counts[False] -= part
-    yield _rows(counts)
+                    counts -= _of_token(ASSIGN.match(raw, start)[1] if kind == 0 else raw[start:end])
+    yield _rows({False: counts})
 
 
 def _from_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = {label: np.zeros(SYMBOLS * SYMBOLS, np.int64) for label in (False, True)}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[bool(label)] += transitions((text or "").encode())
+            counts[bool(label)] += _of_token((text or "").encode())
     yield _rows(counts)
 
 
-def _docs_to_scan(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Documents of a slice in which some pattern could match: = or :, AKIA, or a run of 24 hexadecimal digits."""
-    at = np.flatnonzero((data == 61) | (data == 58))
-    spots = [at, runs(_HEX[data], 24)[:, 0]]
-    raw = data.tobytes()
-    if b"AKIA" in raw:
-        spots.append(np.array([m.start() for m in re.finditer(b"AKIA", raw)]))
-    row = np.unique(np.searchsorted(offsets, np.concatenate(spots), "right") - 1)
-    return [(int(offsets[r]), int(offsets[r + 1])) for r in row]
+def _rows_to_scan(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows of a slice in which some pattern could match: = or :, AKIA, or a run of 24 hexadecimal digits within the row."""
+    spots = [np.flatnonzero((data == 61) | (data == 58)), runs_within(_HEX[data], offsets, 24)[:, 0]]
+    if len(data) > 3:
+        spots.append(np.flatnonzero((data[:-3] == 65) & (data[1:-2] == 75) & (data[2:-1] == 73) & (data[3:] == 65)))
+    return np.unique(np.searchsorted(offsets, np.concatenate(spots), "right") - 1)
 
 
 def ratio_table(counts: DataFrame) -> np.ndarray:
@@ -115,25 +163,39 @@ def ratio_table(counts: DataFrame) -> np.ndarray:
     return np.log(0.9 * p[1] + 0.1 / SYMBOLS) - np.log(p[0])
 
 
-def train(labelled: DataFrame) -> np.ndarray:
-    """The model from a labelled sample: columns text and label (true: a random string); null texts and labels count as '' and false."""
-    return ratio_table(labelled.select(F.col("text").cast("string"), F.col("label").cast("boolean")).mapInArrow(_from_labels, "random boolean, pair int, c bigint"))
+def _label_counts(labelled: DataFrame) -> DataFrame:
+    return labelled.select(F.col("text").cast("string"), F.col("label").cast("boolean")).mapInArrow(_from_labels, "random boolean, pair int, c bigint")
+
+
+def train(labelled: DataFrame, texts: DataFrame | None = None) -> np.ndarray:
+    """The model from a labelled sample: columns text and label (true: a random string); null texts and labels count as '' and false.
+
+    texts (column text): all their tokens but those that the patterns find are ordinary too.
+    """
+    counts = _label_counts(labelled)
+    if texts is not None:
+        counts = counts.unionByName(texts.select(F.col("text").cast("string")).mapInArrow(_from_corpus, "random boolean, pair int, c bigint"))
+    return ratio_table(counts)
 
 
 def markov_spans(data: np.ndarray, table: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """[start, end) of tokens, within rows, whose ratio is high enough."""
     code = _CODE[data].astype(np.int32)
-    inside = np.concatenate((code > 0, [False]))
-    edge = np.diff(np.concatenate(([False], inside)).astype(np.int8))
-    borders = np.unique(np.concatenate((np.flatnonzero(edge), offsets)))
-    spans = np.stack((borders[:-1], borders[1:]), 1) if len(borders) > 1 else np.zeros((0, 2), np.int64)
-    spans = spans[(spans[:, 1] - spans[:, 0] >= SHORTEST) & inside[spans[:, 0]]]
-    keep = []
-    for a, b in spans.tolist():
-        x = code[a:b]
-        score = table[x[:-1], x[1:]].sum() + table[0, x[0]] + table[x[-1], 0]
-        keep.append(score >= LEAST_TOTAL and score >= LEAST_MEAN * (b - a))
-    return spans[np.array(keep, bool)] if keep else spans[:0]
+    spans = runs_within(code > 0, offsets, SHORTEST)
+    if not len(spans):
+        return spans
+    a, b = spans[:, 0], spans[:, 1]
+    step = np.concatenate(([0.0], np.cumsum(table[code[:-1], code[1:]])))
+    score = step[b - 1] - step[a] + table[0, code[a]] + table[code[b - 1], 0]
+    return spans[(score >= LEAST_TOTAL) & (score >= LEAST_MEAN * (b - a))]
+
+
+def _covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans, in order of their starts, hold all of a range."""
+    for a, b, _ in spans:
+        if a <= start < b:
+            start = b
+    return start >= end
 
 
 def _scan(model, redact: bool):
@@ -148,13 +210,13 @@ def _scan(model, redact: bool):
             column = batch.column(batch.num_columns - 1)
             for first, data, offsets in slices(column):
                 extra = markov_spans(data, table, offsets)
-                scan = {int(np.searchsorted(offsets, a, "right") - 1) for a, _ in _docs_to_scan(data, offsets)} | set((np.searchsorted(offsets, extra[:, 0], "right") - 1).tolist())
-                for r in sorted(scan):
+                bound = np.searchsorted(extra[:, 0], offsets)
+                for r in np.union1d(_rows_to_scan(data, offsets), np.flatnonzero(np.diff(bound))).tolist():
                     a, b = int(offsets[r]), int(offsets[r + 1])
                     raw = data[a:b].tobytes()
                     base = base_spans(raw, data[a:b])
-                    own = extra[(extra[:, 0] >= a) & (extra[:, 1] <= b)] - a
-                    more = [(int(s), int(e), 3) for s, e in own if not any(s < y and x < e for x, y, _ in base)]
+                    own = extra[bound[r] : bound[r + 1]] - a
+                    more = [(s, e, 3) for s, e in own.tolist() if not _covered(s, e, base)]
                     if not base and not more:
                         continue
                     chars = np.concatenate(([0], np.cumsum((data[a:b] & 0xC0) != 0x80)))
@@ -180,15 +242,16 @@ def find_secrets(docs: DataFrame, model: np.ndarray | None = None, redact: bool
     """All columns of the documents (other than these names) with n_assign, n_access, n_hex, n_markov, base_sha256, spans, redacted.
 
     spans: kind:start:end in code points, end exclusive, by start, then kind (assign, access, hex, markov), joined by commas.
-    A markov span never overlaps a span of a pattern.  redacted (with redact): the text with each secret replaced by
-    [SECRET], null where there is none.  model: from ``train``; None trains on the corpus itself.  Null texts are empty; repeated
-    rows get equal results; an empty table gives no rows.
+    A markov span may reach beyond spans of patterns but is never within them.  redacted (with redact): the text with each run of
+    overlapping secrets replaced by [SECRET], null where there is none.  model: from ``train``; None trains on
+    ``labelled_samples`` and the texts themselves.  Null texts are empty; repeated rows get equal results, whatever rows are beside
+    them; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     if model is None:
-        model = ratio_table(text.mapInArrow(_from_corpus, "random boolean, pair int, c bigint"))
+        model = train(spark.createDataFrame(labelled_samples(), "text string, label boolean"), text)
     added = "n_assign bigint, n_access bigint, n_hex bigint, n_markov bigint, base_sha256 string, spans string, redacted string"
     others = [c for c in docs.columns if c not in {x.split()[0] for x in added.split(", ")}]
     rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(text_col).cast("string").alias("scanned_text"))
