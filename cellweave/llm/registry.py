@@ -115,7 +115,8 @@ FROM sets s JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY nod
 
 OP2_SQL = """
 WITH said AS (
-  SELECT conv_id, turn // 256 AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1) // 256 AS part
+  FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations)
 ), who AS (
   SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'
 ), lines AS (
@@ -161,15 +162,17 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 OP8_SQL = """
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), once AS MATERIALIZED (
+  SELECT DISTINCT doc_id, w FROM d
 ), wins AS MATERIALIZED (
-  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM once)
 ), later AS (
-  SELECT doc_id, i FROM wins QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1
+  SELECT doc_id, i FROM wins QUALIFY row(doc_id, i) > min(row(doc_id, i)) OVER (PARTITION BY win)
 ), gone AS MATERIALIZED (
   SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later
 ), kept AS (
   SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.p) AS line
-  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.p = gone.p
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM once) x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.p = gone.p
   GROUP BY x.doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256

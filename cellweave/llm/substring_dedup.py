@@ -10,7 +10,8 @@ With two rounds of known names a window of 20 words has at least one symbol bord
 window alone, 5 to 15 words from its start: names are lost for 2 words at each end in round one and 2 in round two, the
 12 words left hold three symbols of at most four words, and round three removes one of two neighbouring borders at most.
 Round-three borders, with the ten words around them, are the index (one for each 2.4 words); borders that occur again
-reveal all repeats.  Only windows around those are fingerprinted (128 bits) and compared as a whole.
+reveal all repeats.  Only windows around those are compared, as a whole, by fingerprints of two independent polynomials (88 bits and
+those of the bucket).
 
 Index keys and places travel packed by bucket.  Every map task first settles what repeats within itself and sends on one row per name at most, so that no name is more
 frequent after the shuffle than there are tasks.
@@ -185,6 +186,14 @@ def _index(bits: int):
     return run
 
 
+def _after_first(same: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of sorted rows stand at a later place than the first of their key; same: whether a row has the key of the row before.
+
+    Repeated rows of a document stand at the same place, of which none is later."""
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    return (doc != doc[first]) | (place != place[first])
+
+
 def _compare(tails: int, earliest: bool):
     """Settled places as they came, and those of compared rows whose key others have too: all of them, or all but the
     earliest (document, place) of each key."""
@@ -210,8 +219,7 @@ def _compare(tails: int, earliest: bool):
             order = np.lexsort((place, doc, bare, k2, k1)) if earliest else np.argsort(k1, kind="stable")
             same = (k1[order[1:]] == k1[order[:-1]]) & (k2[order[1:]] == k2[order[:-1]])
             hit = np.concatenate(([False], same))
-            if not earliest:
-                hit |= np.concatenate((same, [False]))
+            hit = _after_first(hit, doc[order], place[order]) if earliest else hit | np.concatenate((same, [False]))
             hit = order[hit & ~bare[order]]
             yield from _places(doc[hit], place[hit])
 
@@ -227,8 +235,9 @@ def _windows(bits: int):
         by = np.lexsort((start, doc))
         h1, h2, doc, start = h1[by], h2[by], doc[by], start[by]
         order = np.lexsort((h2, h1))  # stable: places ascend within a window
+        same = np.concatenate(([False], (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])))
         later = np.zeros(len(h1), bool)
-        later[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+        later[order] = _after_first(same, doc[order], start[order])
         tail = np.hstack((_bytes_of(h1, bits // 8, 7), _bytes_of(h2, 0, WINDOW_TAIL - 7)))
         yield from _deal(bits, h1, tail, (~later).astype(np.int8), doc, start, later)
 
@@ -277,15 +286,18 @@ def _cut_words(digest_only: bool):
                 elif flags.is_valid and len(flags.values):
                     cover = np.zeros(n + WINDOW + 1, np.int32)
                     start = flags.values.to_numpy()
+                    start = start[start <= n - WINDOW]
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + WINDOW, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
                 else:
                     kept = words
                 line = b" ".join(kept)
-                out.append((doc.as_py(), n, n - len(kept), hashlib.sha256(line).hexdigest(), None if digest_only else line.decode()))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                digest = hashlib.sha256(line).hexdigest()
+                full = digest if len(kept) == n else hashlib.sha256(b" ".join(words)).hexdigest()
+                out.append((doc.as_py(), n, n - len(kept), digest, None if digest_only else line.decode(), full))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "full_sha256"])
 
     return run
 
@@ -295,7 +307,9 @@ def repeated_windows(docs: DataFrame, digest_only: bool = False, id_col: str = "
 
     Removed is each word within a window of 20 words whose sequence also starts earlier: in a smaller doc_id, or earlier in
     the same document.  Windows are judged on the input.  Null and blank texts have no words; rows
-    without an id keep all their words and are no earlier place; rows of one id are all cut by the flags of all of them.  Other columns are not read.
+    without an id keep all their words and are no earlier place; repeated rows (the same id and text) are one document, and each is cut
+    like it; different texts of one id stand at the same places, and words that go from one go from the other.  Other columns
+    are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -312,13 +326,13 @@ def repeated_windows(docs: DataFrame, digest_only: bool = False, id_col: str = "
     late = texts.mapInArrow(_windows(bits), PACKED).repartition(1 << bits, "bucket").mapInArrow(_compare(WINDOW_TAIL, True), "doc_id bigint, place int")
     flags = late.groupBy("doc_id").agg(F.collect_set("place").alias("flags")).withColumn("whole", F.lit(False))
     flags = hold(flags.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("flags"), F.lit(True).alias("whole"))))
-    shape = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    shape = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, full_sha256 string"
     cutting = _cut_words(digest_only)
     hit = sift(slim, flags.select("doc_id"), "doc_id").join(flags, "doc_id").select("doc_id", "text", "whole", "flags").mapInArrow(cutting, shape)
     whole = slim.select("doc_id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("flags")).mapInArrow(cutting, shape)
     if not digest_only:
         whole = whole.join(flags.select("doc_id"), "doc_id", "left_anti")
-        return whole.unionByName(hit)
-    late = hit.select("doc_id", F.col("n_removed").alias("less"), F.col("kept_sha256").alias("left")).distinct()
-    out = whole.join(late, "doc_id", "left")
+        return whole.unionByName(hit).drop("full_sha256")
+    late = hit.select("doc_id", "full_sha256", F.col("n_removed").alias("less"), F.col("kept_sha256").alias("left")).distinct()
+    out = whole.join(late, ["doc_id", "full_sha256"], "left")
     return out.select("doc_id", "n_words", F.coalesce("less", "n_removed").alias("n_removed"), F.coalesce("left", "kept_sha256").alias("kept_sha256"))
