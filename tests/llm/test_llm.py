@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -17,7 +18,7 @@ from cellweave.llm import common, decontaminate, near_dedup, registry
 from cellweave.llm.chat_format import rotate_perspectives
 from cellweave.llm.decontaminate import contamination
 from cellweave.llm.embedding_dedup import embedding_duplicates
-from cellweave.llm.html_text import main_text
+from cellweave.llm.html_text import extract_pages, main_text
 from cellweave.llm.language_id import identify
 from cellweave.llm.lm_score import score_texts
 from cellweave.llm.mixing import mix_sources
@@ -309,6 +310,43 @@ def test_html_layout_wrappers():
     assert main_text(f"<p>{words}</p><form>Search <input></form>") == words.strip()
 
 
+def test_html_generated(spark):
+    """Pages put together from known blocks among boilerplate: the article comes out block by block, with or without an article element."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijé", k=rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    links = lambda n: "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [line(5)] + [line(rng.randint(8, 120)) for _ in range(rng.randint(3, 9))]
+        inner = f"<h1>{blocks[0]}</h1>" if i % 3 else f"<header class='page'><h1>{blocks[0]}</h1></header>"
+        inner = inner if i % 2 else f"<h2 class='section-header'>{blocks[0]}</h2>"
+        for b in blocks[1:]:
+            w = b.split()
+            inner += rng.choice([f"<p>{b}</p>", f"<p class='social-science'>{' '.join(w[:2])}\n <b>{' '.join(w[2:])}</b>", f"<div>{' '.join(w[:1])}&#32;<a href='#'>{w[1]}</a> {' '.join(w[2:])}</div>"])
+        inner += f"<div class='share-buttons'>{line(2)}</div><script>x</p></script>"
+        tag = "article" if i % 2 else "div"
+        page = f"<html><head><title>t</title><style>p{{}}</style></head><body><!-- <p> --><nav><ul>{links(8)}</ul></nav><div class='cookie-notice'>{line(6)}</div><div class='sidebar'><ul>{links(5)}</ul></div>"
+        page += f"<{tag}>{inner}</{tag}><div id='comments'><p>{line(9)}</p></div><form>{line(3)}<input></form><footer>{line(5)}</footer></body></html>"
+        rows.append((i, f"u{i}", page, "clash"))
+        want[i] = "\n".join(blocks)
+    rows += [(900, None, None, "x"), (901, "u", "", "x"), (0, "u0", rows[0][2], "x")]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want | {900: "", 901: ""} and all(r.n_chars == len(r.text) for r in got)
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_broken():
+    """Long broken pages take time in proportion to their length (all of these took minutes otherwise)."""
+    n = 60_000
+    pages = ["<b>" * n + "</i>" * n, '<a "' * n, '<a x="<b>" ' * n, "<b>" * n + "<hr>" * n, "<b>" * n + "<li>x</li>" * n, "<a" * n, "<div class=share>x" * n, "<main>x" * n, "<i><article>" + "<b>" * n + "</i>" * n, "<textarea></textarea" * n, "<" * n]
+    began = time.process_time()
+    for page in pages:
+        main_text(page)
+    assert time.process_time() - began < 60
+    assert main_text("<p>" + "long text " * 100_000) == ("long text " * 100_000).strip()
+
+
 def test_html_sections():
     """Sections of unlike density with a title, a caption between them and links beside them: all sections stay, links go."""
     p = lambda c: f"<p>{(c * 9 + ' ') * 40}</p>"
