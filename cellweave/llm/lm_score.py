@@ -1,15 +1,19 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class, history).  The 255 most frequent training tokens
-form 16 classes of 16 by frequency, all other words one more class.  Both factors are softmaxes whose weights are rows of
-hashed tables, one row for each active feature: the word before, the two words before, and the words two and three
-back alone (skips).  Within the class of other words, a word has its add-one share of the training counts, so that every
-text has a probability.
+All words are leaves of a tree of classes: 16 classes of 16 classes of 16 leaves.  The 2047 most frequent training tokens have a
+leaf each, in order of frequency; every other word, unseen ones too, shares one of 2048 leaves with those of its hash.
+
+    log P(word | history) = log P(class | history) + log P(class 2 | class, history) + log P(leaf | classes, history) + log P(word | leaf)
+
+The first three factors are softmaxes whose weights are rows of hashed tables, one row for each active feature: the word
+before, the two words before, and the words two and three back alone (skips).  Within a shared leaf, a word has its add-one
+share of the leaf's training counts, so that every text has a probability.
 
 Training is one pass over all training tokens of local gradient updates in sparse numpy batches, a copy of the weights in each
-task; the copies are averaged row by row, weighted by how often each task used the row.  Scoring is another pass.  Word
-counts are sums over the whole corpus; counts of the ``KNOWN`` most frequent words are broadcast (a fixed size), those
-of other words are joined.
+task; the copies are averaged row by row, weighted by how often each task used the row.  Tables grow with the square
+root of the training tokens, and so does the number of copies, so that what is averaged grows like the input.  Scoring is
+another pass.  Word counts are sums over the whole corpus; counts of the ``KNOWN`` most frequent words are broadcast (a
+fixed size), those of other words are joined.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 from .common import hold, prepare
 from .textvec import U, Words, mix, slices
 
-CLASSES, MEMBERS = 16, 16
-TOP = CLASSES * MEMBERS - 1
+#: Children of a node, levels of the tree, words with a leaf of their own, leaves that other words share (a power of two).
+WIDE, LEVELS, SINGLE, SHARED = 16, 3, 2047, 2048
+LEAVES = WIDE**LEVELS
 KNOWN = 1 << 18
-CLASS_ROWS, MEMBER_ROWS = 1 << 15, 1 << 16
+#: log2 of the rows of each table, at least and at most (each row holds WIDE weights of 4 bytes).
+LEAST_BITS, MOST_BITS = 14, 20
 FEATURES, BATCH, RATE = 4, 16384, 0.7
 END = 0x51_7C_C1_B7_27_22_0A_95
 _BEGIN = 0x2F_72_B4_21_5A_3D_8C_AF
@@ -35,6 +41,11 @@ _BEGIN = 0x2F_72_B4_21_5A_3D_8C_AF
 _PIECE = 2048
 
 
+def table_bits(tokens: int) -> int:
+    """log2 of the rows of a table: half of that of the tokens, and three."""
+    return int(np.clip(round(np.log2(max(tokens, 1)) / 2) + 3, LEAST_BITS, MOST_BITS))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -79,92 +90,98 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _shared_leaf(hashes: np.ndarray) -> np.ndarray:
+    """The leaf of words without a leaf of their own."""
+    return (LEAVES - SHARED + (hashes >> U(40) & U(SHARED - 1)).astype(np.int64)).astype(np.int32)
+
+
 class Model:
-    """What every task needs: the known words by fingerprint (count, place among the top words), and weights."""
+    """What every task needs: the known words by fingerprint (count, leaf), masses of leaves, and weights."""
 
-    def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, distinct: int, shared: np.ndarray):
+        """shared: of each shared leaf, the sum of count + 1 over all training words of its hash."""
         order = np.argsort(known)
         self.known, self.count = known[order], counts[order]
-        rank = np.full(len(known), -1, np.int32)
-        best = np.lexsort((self.known, -self.count))[:TOP]
-        rank[best] = np.arange(len(best))
-        self.rank, self.total, self.distinct = rank, total, distinct
-        top = self.count[best].astype(np.float64)
-        self.rest = float(total + distinct - top.sum() - len(top) + 1)  # add-one mass of the other words
-        prior = np.ones(CLASSES + 1)
-        prior[:CLASSES] += np.add.reduceat(np.pad(top, (0, CLASSES * MEMBERS - len(top))), np.arange(0, CLASSES * MEMBERS, MEMBERS))
-        prior[CLASSES] += max(0.0, total - top.sum())
-        self.class_bias = np.log(prior / prior.sum()).astype(np.float32)
-        inside = np.pad(top, (0, CLASSES * MEMBERS - len(top))).reshape(CLASSES, MEMBERS)
-        self.exists = inside > 0
-        self.member_bias = np.where(self.exists, np.log(np.maximum(inside, 1e-300)), -1e9).astype(np.float32)
+        self.leaf = _shared_leaf(self.known)
+        best = np.lexsort((self.known, -self.count))[:SINGLE]
+        mass = np.zeros(LEAVES)
+        mass[LEAVES - SHARED :] = shared + 1  # one for unseen words
+        np.subtract.at(mass, self.leaf[best], self.count[best] + 1.0)
+        self.leaf[best] = np.arange(len(best))
+        mass[: len(best)] = self.count[best] + 1
+        self.total, self.distinct = total, distinct
+        self.log_mass = np.where(np.arange(LEAVES) < LEAVES - SHARED, 0.0, np.log10(np.maximum(mass, 1)))
+        self.biases = []
+        for level in range(LEVELS):  # log share of each child of each node
+            inside = mass.reshape(WIDE**level, WIDE, -1).sum(2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                share = np.log(inside / inside.sum(1, keepdims=True))
+            self.biases.append(np.where(inside > 0, share, -1e9).astype(np.float32))
+        self.bits = table_bits(total)
         self.tables: list[np.ndarray] | None = None
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count, or -1 if it isn't known here; top rank or -1) of each token, through the distinct ones."""
+    @classmethod
+    def of(cls, parts: dict) -> Model:
+        """The model of its attributes, as they are broadcast (without this class, which executors needn't be able to import)."""
+        model = cls.__new__(cls)
+        model.__dict__.update(parts)
+        return model
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, or -1 if it isn't known here; leaf) of each token, through the distinct ones."""
         values, inverse = np.unique(hashes, return_inverse=True)
+        leaf = _shared_leaf(values)
         if not len(self.known):
-            return np.full(len(hashes), -1), np.full(len(hashes), -1, np.int32), inverse
+            return np.full(len(hashes), -1), leaf[inverse]
         at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
         same = self.known[at] == values
-        return np.where(same, self.count[at], -1)[inverse], np.where(same, self.rank[at], -1)[inverse], inverse
+        return np.where(same, self.count[at], -1)[inverse], np.where(same, self.leaf[at], leaf)[inverse]
 
     def blank(self) -> list[np.ndarray]:
-        return [np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32)]
-
+        return [np.zeros((1 << self.bits, WIDE), np.float32) for _ in range(LEVELS)]
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
 
-
-def _forward(model: Model, tables: list[np.ndarray], features: list[np.ndarray], rank: np.ndarray):
-    """Both factors of a batch: (probabilities, target, table rows) of the classes, and of the members of top words."""
-    rows = [(f & U(CLASS_ROWS - 1)).astype(np.int64) for f in features]
-    x = tables[0][rows[0]] + model.class_bias
-    for r in rows[1:]:
-        x += tables[0][r]
-    target = np.where(rank >= 0, rank // MEMBERS, CLASSES)
-    top = np.flatnonzero(rank >= 0)
-    cls = target[top].astype(U)
-    inner = [(mix(f[top] + (cls + U(1)) * U(0xD6E8FEB86659FD93)) & U(MEMBER_ROWS - 1)).astype(np.int64) for f in features]
-    y = model.member_bias[target[top]]
-    for r in inner:
-        y += tables[1][r]
-    return (_softmax(x), target, rows), (_softmax(y), rank[top] % MEMBERS, inner), top
+def _forward(model: Model, tables: list[np.ndarray], features: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(probabilities of the children, the child taken, table rows) of each level, for a batch."""
+    mask = U((1 << model.bits) - 1)
+    for level in range(LEVELS):
+        node, child = leaf // WIDE ** (LEVELS - level), leaf // WIDE ** (LEVELS - 1 - level) % WIDE
+        x = model.biases[level][node]
+        rows = [((mix(f + (node + 1).astype(U) * U(0xD6E8FEB86659FD93)) if level else f) & mask).astype(np.uint32) for f in features]
+        for r in rows:
+            x += tables[level][r]
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        yield x, child, rows
 
 
 def _descend(table: np.ndarray, used: np.ndarray, p: np.ndarray, target: np.ndarray, rows: list[np.ndarray]) -> None:
     """One gradient step: each row moves by its summed gradient over the square root of its uses so far."""
-    if not len(target):
-        return
     p[np.arange(len(target)), target] -= 1
+    small = len(table) <= 1 << 16
     for r in rows:
-        order = np.argsort(r)
+        order = np.argsort(r.astype(np.uint16) if small else r, kind="stable")
         sorted_rows = r[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
         at = sorted_rows[first]
-        n = np.diff(np.append(first, len(r)))
-        used[at] += n
+        used[at] += np.diff(np.append(first, len(r)))
         table[at] -= (RATE / FEATURES) * np.add.reduceat(p[order], first, axis=0) / np.sqrt(used[at])[:, None]
 
 
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        tables, used = model.blank(), [np.zeros(CLASS_ROWS, np.float32), np.zeros(MEMBER_ROWS, np.float32)]
+        model = Model.of(shared.value)
+        tables, used = model.blank(), [np.zeros(1 << model.bits, np.float32) for _ in range(LEVELS)]
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 tokens = Tokens(data, offsets)
-                _, rank, _ = model.look_up(tokens.hash)
+                _, leaf = model.look_up(tokens.hash)
                 features = tokens.features()
-                for i in range(0, len(rank), BATCH):
-                    outer, inner, _ = _forward(model, tables, [f[i : i + BATCH] for f in features], rank[i : i + BATCH])
-                    _descend(tables[0], used[0], *outer)
-                    _descend(tables[1], used[1], *inner)
-        for t in (0, 1):
+                for i in range(0, len(leaf), BATCH):
+                    for level, (p, child, rows) in enumerate(_forward(model, tables, [f[i : i + BATCH] for f in features], leaf[i : i + BATCH])):
+                        _descend(tables[level], used[level], p, child, rows)
+        for t in range(LEVELS):
             for i in range(0, len(tables[t]), _PIECE):
                 n = used[t][i : i + _PIECE]
                 if n.any():
@@ -188,30 +205,30 @@ def _score(shared):
     names = ["uid", "doc_id", "h", "rare", "k", "n_tokens", "n_known", "base", "model"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
+    def batch_of(cols: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.of(shared.value)
         for batch in batches:
             uids, ids = batch.column(0).to_numpy(), batch.column(1)
             for first, data, offsets in slices(batch.column(2)):
                 rows = len(offsets) - 1
                 tokens = Tokens(data, offsets)
-                count, rank, _ = model.look_up(tokens.hash)
+                count, leaf = model.look_up(tokens.hash)
                 features = tokens.features()
-                log = np.zeros(len(rank))
-                for i in range(0, len(rank), BATCH):
-                    (p, target, _), (q, member, _), top = _forward(model, model.tables, [f[i : i + BATCH] for f in features], rank[i : i + BATCH])
-                    part = np.log10(np.maximum(p[np.arange(len(target)), target], 1e-30).astype(np.float64))
-                    part[top] += np.log10(np.maximum(q[np.arange(len(member)), member], 1e-30))
-                    log[i : i + BATCH] = part
-                other = (rank < 0) & (count >= 0)
-                log[other] += np.log10((count[other] + 1) / model.rest)
+                log = np.zeros(len(leaf))
+                for i in range(0, len(leaf), BATCH):
+                    for p, child, _ in _forward(model, model.tables, [f[i : i + BATCH] for f in features], leaf[i : i + BATCH]):
+                        log[i : i + BATCH] += np.log10(np.maximum(p[np.arange(len(child)), child], 1e-30))
                 known = count >= 0
-                base = np.where(known, np.log10((np.maximum(count, 0) + 1) / (model.total + model.distinct + 1)), 0.0)
-                sums = [np.bincount(tokens.row, x, rows) for x in (np.ones(len(rank)), known, base, log)]
+                own = np.where(known, np.log10(np.maximum(count, 0) + 1.0), 0.0)  # of other words once they are joined
+                base = own - np.log10(model.total + model.distinct + 1.0)
+                log += np.where(leaf < LEAVES - SHARED, 0.0, own - model.log_mass[leaf])
+                sums = [np.bincount(tokens.row, x, rows) for x in (np.ones(len(leaf)), known, base, log)]
                 uid, doc = uids[first : first + rows], ids.slice(first, rows)
                 zero = np.zeros(rows, np.int64)
-                cols = [uid, doc, mix(uid.view(U)).view(np.int64), zero.astype(bool), zero, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                yield batch_of([uid, doc, mix(uid.view(U)).view(np.int64), zero.astype(bool), zero, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]])
                 rare = np.flatnonzero(~known)
                 if len(rare):
                     pair = np.stack((tokens.row[rare].astype(U), tokens.hash[rare]), 1)
@@ -221,8 +238,7 @@ def _score(shared):
                     k = np.diff(np.append(new, len(pair)))
                     row = pair[new, 0].astype(np.int64)
                     zero = np.zeros(len(row), np.int64)
-                    cols = [uid[row], doc.take(pa.array(row)), pair[new, 1].view(np.int64), np.ones(len(row), bool), k, zero, zero, zero.astype(float), zero.astype(float)]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                    yield batch_of([uid[row], doc.take(pa.array(row)), pair[new, 1].view(np.int64), np.ones(len(row), bool), k, zero, zero, zero.astype(float), zero.astype(float)])
 
     return run
 
@@ -240,8 +256,13 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
             break
         least, words = r.level, words + r["count"]
     top = counts.where(level >= least).toPandas()
-    model = Model(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64), int(size.n), int(size.v))
-    parts = texts.mapInArrow(_train(spark.sparkContext.broadcast(model)), "t int, at int, part binary")
+    shared = np.zeros(SHARED)
+    for r in counts.groupBy(F.expr(f"shiftrightunsigned(h, 40) & {SHARED - 1}").alias("leaf")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
+        shared[r.leaf] = r.m
+    model = Model(top["h"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64), int(size.n), int(size.v), shared)
+    tasks = texts.rdd.getNumPartitions()
+    copies = texts.coalesce(max(1, min(tasks, int(np.ceil(4 * np.sqrt(tasks))))))
+    parts = copies.mapInArrow(_train(spark.sparkContext.broadcast(vars(model))), "t int, at int, part binary")
     # Copies are summed in two steps, so that no task gets a piece from every other.
     some = parts.withColumn("lot", F.spark_partition_id() % 16).repartition("t", "at", "lot").select("t", "at", "part").mapInArrow(_add, "t int, at int, part binary")
     tables = model.blank()
@@ -257,7 +278,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Learns from the rows whose crc32(doc_id as text) mod 7 is not 2 (null ids are learned from).  A null or blank text is
     its end token alone.  Repeated rows are scored each; other columns are not read; an empty table gives no rows.  With no
-    training rows, every token is unknown and has probability 1.
+    training rows, every token is unknown, and the base score of each is 0 (log10 of 1 / 1).
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -265,13 +286,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     model, counts = fit(slim.where(~held_out()).select("text"))
     rows = slim.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     schema = "uid bigint, doc_id bigint, h bigint, rare boolean, k bigint, n_tokens bigint, n_known bigint, base double, model double"
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(vars(model))), schema)
     seen = scored.join(counts.select(F.col("h").alias("word"), "c"), F.expr("rare and h = word"), "left")
-    log = lambda mass: F.expr(f"if(rare, k * log10((coalesce(c, 0) + 1) / {float(mass)!r}d), 0d)")
+    log = F.expr("if(rare, k * log10(coalesce(c, 0) + 1), 0d)")
     out = seen.groupBy("uid", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.expr("n_known + if(rare and c is not null, k, 0)")).alias("n_known"),
-        F.sum(F.col("base") + log(model.total + model.distinct + 1)).alias("base_score"),
-        F.sum(F.col("model") + log(model.rest)).alias("score"),
+        F.sum(F.col("base") + log).alias("base_score"),
+        F.sum(F.col("model") + log).alias("score"),
     )
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), "base_score", "score")
