@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -14,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellweave.llm import common, decontaminate, near_dedup, registry
+from cellweave.llm import common, decontaminate, lm_score, near_dedup, registry
 from cellweave.llm.chat_format import rotate_perspectives
 from cellweave.llm.decontaminate import contamination
 from cellweave.llm.embedding_dedup import embedding_duplicates
@@ -220,20 +221,84 @@ def test_language(spark):
     truth = {r[0]: r[2] for r in rows}
     assert all(r.lang_pred == truth[r.doc_id] for r in got if r.doc_id not in (999, 1000))
     assert all(r.lang_pred == "und" for r in got if r.doc_id in (999, 1000))
+    # labels beyond any count of languages
+    many = spark.createDataFrame([(i, "".join(chr(0x4E00 + 7 * (i % 600) + j) for j in range(7)) + " abc", f"l{i % 600}", 0) for i in range(3600)], "doc_id long, text string, lang string, told int")
+    taught = Counter(i % 600 for i in range(3600) if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert all(r.lang_pred == f"l{r.doc_id % 600}" for r in identify(many).collect() if taught[r.doc_id % 600] > 1)
+    assert identify(many.limit(0)).count() == 0 and {r.lang_pred for r in identify(many.withColumn("lang", F.lit(None).cast("string")).limit(5)).collect()} == {"und"}
+    long = spark.createDataFrame([(1, "ab cd " * 300_000, "p"), (2, "xy zw " * 9, "q"), (4, "xy zw", "q"), (6, "ab cd", None), (7, "\u4e00\u4e01", None)], "doc_id long, text string, lang string")
+    last = {r.doc_id: (r.lang_pred, r.told) for r in identify(long).collect()}
+    assert last[6] == ("p", 1.0) and last[7][1] == 0.0
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
 
 
-def test_language_model(docs):
-    got = score_texts(docs).collect()
-    assert len(got) == docs.count() and all(r.score <= 0 and r.n_tokens >= 1 and np.isfinite(r.score) for r in got)
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_language_model(docs, monkeypatch):
+    """Base columns equal plain counts, also if most words are joined; the model's probabilities of all words sum to one."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    every = [(r.doc_id, [x.translate(low) for x in plain_words(r.text)] + [None]) for r in docs.collect()]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(w for i, t in every if not out(i) for w in t)
+    n, v = count.total(), len(count)
+    want = sorted((i is None, i or 0, out(i), len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in every)
+    for known in (1 << 18, 20):
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        got = score_texts(docs).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+        assert all(r.score < 0 and np.isfinite(r.score) for r in got)
     assert score_texts(docs.limit(0)).count() == 0
 
 
+def test_language_model_sums_to_one(spark):
+    """Over all words and one unseen word of each leaf, the probabilities after any history sum to one; context helps."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(f"{a} {a}x" for a in rng.choices(words, weights=[1 / (i + 1) for i in range(3000)], k=200)) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    common.prepare(spark)
+    model, counts = lm_score.fit(df)
+    assert model.leaf.max() > lm_score.SINGLE and counts.count() == model.distinct
+    history = np.frombuffer(b"w1 w1x w2 ", np.uint8)
+    features = [f[-1:] for f in lm_score.Tokens(history, np.array([0, len(history)])).features()]
+    every = np.append(model.leaf, np.arange(lm_score.LEAVES - lm_score.SHARED, lm_score.LEAVES)).astype(np.int32)
+    log = np.zeros(len(every))
+    for p, child, _ in lm_score._forward(model, model.tables, [np.repeat(f, len(every)) for f in features], every):
+        log += np.log10(p[np.arange(len(child)), child])
+    share = np.append(model.count + 1.0, np.ones(lm_score.SHARED))
+    inside = np.where(every < lm_score.LEAVES - lm_score.SHARED, 1.0, share / 10 ** model.log_mass[every])
+    assert abs((10**log * inside).sum() - 1) < 1e-3
+    scored = score_texts(df.selectExpr("cast(monotonically_increasing_id() as bigint) doc_id", "text")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert scored[0] > scored[1]
+
+
 def test_mixing(docs):
-    got = mix_sources(docs).collect()
-    assert len(got) == docs.count() and all(0 <= r.taken <= 2 * r.size for r in got)
-    total = sum(r.size for r in got)
-    assert abs(sum(r.taken for r in got) - 1.5 * total) < 0.02 * total
+    """Sizes, targets and source sizes equal plain arithmetic; every source comes within half a document of its target."""
+    monster = docs.unionByName(docs.limit(8)).withColumn("size", F.lit("clash"))
+    rows = [(r.doc_id, r.source, len(plain_words(r.text))) for r in monster.collect()]
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(n for _, x, n in rows if x == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    full: set = set()
+    while True:
+        left, open_ = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full), [s for s in sources if s not in full]
+        target = {s: 2.0 * sizes[s] if s in full else left * weight[s] / sum(weight[x] for x in open_) for s in sources}
+        over = {s for s in open_ if target[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    got = mix_sources(monster).collect()
+    assert sorted((r.doc_id or -1, r.size, r.source_size) for r in got) == sorted((i or -1, n, sizes[s]) for i, s, n in rows)
+    taken: Counter = Counter()
+    by_size = {sizes[s]: s for s in sources}
+    for r in got:
+        s = by_size[r.source_size]
+        assert abs(r.target - target[s]) < 1e-6 * target[s] and r.taken in (0, r.size, 2 * r.size)
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= max(n for _, x, n in rows if x == s) / 2 + 1 for s in sources)
+    assert sorted(map(str, mix_sources(monster.repartition(7)).collect())) == sorted(map(str, got))
     assert mix_sources(docs.limit(0)).count() == 0
 
 
