@@ -6,7 +6,7 @@ leaf each, in order of frequency; every other word, unseen ones too, shares one
     log P(word | history) = log P(class | history) + log P(class 2 | class, history) + log P(leaf | classes, history) + log P(word | leaf)
 
 The first three factors are softmaxes whose weights are rows of hashed tables, one row for each active feature: the word
-before, the two words before, and the words two and three back alone (skips).  Within a shared leaf, a word has its add-one
+before, the two words before, and the word two back alone (a skip).  Within a shared leaf, a word has its add-one
 share of the leaf's training counts, so that every text has a probability.
 
 Training is one pass over all training tokens of local gradient updates in sparse numpy batches, a copy of the weights in each
@@ -34,7 +34,7 @@ LEAVES = WIDE**LEVELS
 KNOWN = 1 << 18
 #: log2 of the rows of each table, at least and at most (each row holds WIDE weights of 4 bytes).
 LEAST_BITS, MOST_BITS = 14, 20
-FEATURES, BATCH, RATE = 4, 16384, 0.7
+FEATURES, BATCH, RATE = 3, 16384, 0.6
 END = 0x51_7C_C1_B7_27_22_0A_95
 _BEGIN = 0x2F_72_B4_21_5A_3D_8C_AF
 #: Table rows in one packed row while copies are averaged.
@@ -62,15 +62,16 @@ class Tokens:
         self.hash = np.concatenate((w.hash, np.full(rows, END, U)))[order]
 
     def features(self) -> list[np.ndarray]:
+        """32 bits of each feature of each token."""
         n = len(self.hash)
         back = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             x = np.full(n, _BEGIN, U)
             if n > k:
                 x[k:] = np.where(self.row[k:] == self.row[:-k], self.hash[:-k], U(_BEGIN))
             back.append(x)
-        one, two, three = back
-        return [mix(one + U(1)), mix(one * U(0x9E3779B97F4A7C15) + two), mix(two + U(2)), mix(three + U(3))]
+        one, two = back
+        return [(mix(x) >> U(32)).astype(np.uint32) for x in (one + U(1), one * U(0x9E3779B97F4A7C15) + two, two + U(2))]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,32 +142,49 @@ class Model:
         return [np.zeros((1 << self.bits, WIDE), np.float32) for _ in range(LEVELS)]
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(13)
+    return x
+
+
 def _forward(model: Model, tables: list[np.ndarray], features: list[np.ndarray], leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(probabilities of the children, the child taken, table rows) of each level, for a batch."""
-    mask = U((1 << model.bits) - 1)
+    mask = np.uint32((1 << model.bits) - 1)
     for level in range(LEVELS):
         node, child = leaf // WIDE ** (LEVELS - level), leaf // WIDE ** (LEVELS - 1 - level) % WIDE
-        x = model.biases[level][node]
-        rows = [((mix(f + (node + 1).astype(U) * U(0xD6E8FEB86659FD93)) if level else f) & mask).astype(np.uint32) for f in features]
+        x = model.biases[level].take(node, 0)
+        salt = (node + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
+        rows = [(_mix32(f ^ salt) if level else f) & mask for f in features]
         for r in rows:
-            x += tables[level][r]
-        x -= x.max(1, keepdims=True)
-        np.exp(x, out=x)
+            x += tables[level].take(r, 0)
+        np.exp(np.minimum(x, 60, out=x), out=x)
         x /= x.sum(1, keepdims=True)
         yield x, child, rows
 
 
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """The order of 32-bit values, by radix."""
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    high = (x >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 def _descend(table: np.ndarray, used: np.ndarray, p: np.ndarray, target: np.ndarray, rows: list[np.ndarray]) -> None:
     """One gradient step: each row moves by its summed gradient over the square root of its uses so far."""
     p[np.arange(len(target)), target] -= 1
-    small = len(table) <= 1 << 16
     for r in rows:
-        order = np.argsort(r.astype(np.uint16) if small else r, kind="stable")
-        sorted_rows = r[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        at = sorted_rows[first]
-        used[at] += np.diff(np.append(first, len(r)))
-        table[at] -= (RATE / FEATURES) * np.add.reduceat(p[order], first, axis=0) / np.sqrt(used[at])[:, None]
+        order = _sorted(r)
+        values = r.take(order)
+        last = np.flatnonzero(np.append(values[1:] != values[:-1], True))
+        at = values.take(last)
+        step = np.cumsum(p.take(order, 0), axis=0).take(last, 0)
+        step[1:] -= step[:-1].copy()
+        uses = used.take(at) + np.diff(last, prepend=-1).astype(np.float32)
+        used[at] = uses
+        table[at] -= step * ((RATE / FEATURES) / np.sqrt(uses))[:, None]
 
 
 def _train(shared):
