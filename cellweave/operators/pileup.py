@@ -26,27 +26,41 @@ def aligned_bases(reads: DataFrame) -> DataFrame:
 
 
 def position_counts(bases: DataFrame, min_qual: int = 20) -> DataFrame:
-    """tid, pos, ref: coverage, failed, barcodes, and by base total, barcodes, plus and minus counts; base, ref 0-3 for ACGT."""
+    """tid, pos, ref: coverage, failed, barcodes (in all, by strand, and with the reference base), and by base total, barcodes (in all, by
+    strand, and of those that have the reference base too), plus and minus counts, and with a column qdist the greatest distance to an end of the read; base, ref 0-3 for ACGT."""
     good = F.expr(f"base between 0 and 3 and qual >= {min_qual}")
+    edges = "qdist" in bases.columns
     per = bases.groupBy("tid", "pos", "ref", "barcode").agg(
-        F.count_if(good).alias("n"), F.count_if(~good).alias("failed"),
+        F.count_if(good).alias("n"), F.count_if(~good).alias("failed"), F.count_if(good & (F.col("base") == F.col("ref"))).alias("refs"),
+        F.count_if(good & (F.col("strand") == "+")).alias("plus"), F.count_if(good & (F.col("strand") == "-")).alias("minus"),
+        *(F.max(F.when(good & (F.col("base") == b), F.col("qdist"))).alias(f"e{b}") for b in range(4) if edges),
         *(F.count_if(good & (F.col("base") == b) & (F.col("strand") == s)).alias(f"b{b}{n}") for b in range(4) for s, n in (("+", "p"), ("-", "m"))),
     )
     return per.groupBy("tid", "pos", "ref").agg(
         F.sum("n").alias("coverage"), F.sum("failed").alias("failed_count"), F.count_if(F.col("n") > 0).alias("barcodes"),
+        F.count_if(F.col("plus") > 0).alias("plus_barcodes"), F.count_if(F.col("minus") > 0).alias("minus_barcodes"), F.count_if(F.col("refs") > 0).alias("ref_barcodes"),
+        *(F.coalesce(F.max(f"e{b}"), F.lit(0)).alias(f"{x}_edge") for b, x in enumerate("ACGT") if edges),
         *(c for b, x in enumerate("ACGT") for c in (
             F.sum(F.col(f"b{b}p") + F.col(f"b{b}m")).alias(f"{x}_total"), F.count_if(F.col(f"b{b}p") + F.col(f"b{b}m") > 0).alias(f"{x}_barcodes"),
+            F.count_if(F.col(f"b{b}p") > 0).alias(f"{x}_plus_barcodes"), F.count_if(F.col(f"b{b}m") > 0).alias(f"{x}_minus_barcodes"),
+            F.count_if((F.col(f"b{b}p") + F.col(f"b{b}m") > 0) & (F.col("refs") > 0)).alias(f"{x}_with_ref_barcodes"),
             F.sum(f"b{b}p").alias(f"{x}_plus"), F.sum(f"b{b}m").alias(f"{x}_minus"))),
     )
 
 
-def snv_candidates(positions: DataFrame, min_barcodes: int = 5, min_alt: int = 2, min_af: float = 0.01) -> DataFrame:
-    """tid, pos, ref, alt, alt_count, ref_count, snp (numbered by tid, pos): the most frequent other base with enough barcodes."""
+def snv_candidates(positions: DataFrame, min_barcodes: int = 5, min_alt: int = 2, min_af: float = 0.01, min_edge: int = 5, targets: DataFrame | None = None) -> DataFrame:
+    """tid, pos, ref, alt, alt_count, ref_count: the most frequent other base with enough barcodes and, where positions know it, far enough from an end of a read.
+
+    targets (tid, pos, target_alt): just those positions, with the alternative of the list."""
+    if targets is not None:
+        at = lambda c: F.element_at(F.array(*(F.col(f"{x}_total") for x in "ACGT")), F.col(c).cast("int") + 1)
+        return positions.join(targets, ["tid", "pos"]).where("ref between 0 and 3").select("tid", "pos", "ref", F.col("target_alt").alias("alt"), at("target_alt").alias("alt_count"), at("ref").alias("ref_count"))
+    edge = F.element_at(F.array(*(F.col(f"{x}_edge") for x in "ACGT")), F.col("best.alt") + 1) if "A_edge" in positions.columns else F.lit(min_edge)
     options = F.array(*(F.struct((-F.col(f"{x}_total")).alias("less"), F.lit(b).alias("alt"), F.col(f"{x}_barcodes").alias("bcs")) for b, x in enumerate("ACGT")))
     best = F.array_min(F.filter(options, lambda o: (o["alt"] != F.col("ref")) & (o["bcs"] >= min_alt)))
     ref = F.element_at(F.array(*(F.col(f"{x}_total") for x in "ACGT")), F.col("ref").cast("int") + 1)
     x = positions.where(f"barcodes >= {min_barcodes} and ref between 0 and 3").withColumn("best", best).where("best is not null")
-    x = x.select("tid", "pos", "ref", F.col("best.alt").alias("alt"), (-F.col("best.less")).alias("alt_count"), ref.alias("ref_count"))
+    x = x.where(edge >= min_edge).select("tid", "pos", "ref", F.col("best.alt").alias("alt"), (-F.col("best.less")).alias("alt_count"), ref.alias("ref_count"))
     return x.where(F.expr(f"alt_count >= {min_af} * (alt_count + ref_count)"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,40 +19,69 @@ def umi_nodes(tags: DataFrame) -> DataFrame:
     return tags.groupBy("barcode", "gene", "umi").agg(F.count("*").alias("cnt"))
 
 
-def _one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("umi")
-    count = dict(zip(pdf.umi.tolist(), pdf.cnt.tolist(), strict=True))
-    parent = {u: u for u in count}
-
-    def find(u):
-        while parent[u] != u:
-            parent[u] = parent[parent[u]]
-            u = parent[u]
-        return u
-
-    top = max(count, default=0)
-    bits = max(2, int(top).bit_length() + 1)
-    for u, c in count.items():
-        for i in range(0, bits, 2):
-            for x in (1, 2, 3):
-                v = u ^ (x << i)
-                if v in count and ((c == 1 and count[v] == 1) or (max(c, count[v]) > 1 and c >= 2 * count[v] - 1)):
-                    parent[find(v)] = find(u)
-    best: dict = {}
-    for u, c in count.items():
-        r = find(u)
-        if r not in best or (-c, u) < (-best[r][0], best[r][1]):
-            best[r] = (c, u)
-    return pd.DataFrame({"barcode": pdf.barcode, "gene": pdf.gene, "umi": pdf.umi, "cnt": pdf.cnt, "umi_to": [best[find(u)][1] for u in pdf.umi.tolist()]})
+def _graph(barcode: np.ndarray, gene: np.ndarray, umi: np.ndarray, cnt: np.ndarray) -> np.ndarray:
+    """umi_to of rows sorted by (barcode, gene, umi), whole groups, all groups at once."""
+    n = len(umi)
+    new = np.ones(n, bool)
+    new[1:] = (barcode[1:] != barcode[:-1]) | (gene[1:] != gene[:-1])
+    bits = max(2, int(umi.max()).bit_length() + 1) // 2 * 2
+    group = (np.cumsum(new) - 1) << (bits + 1)
+    key = group | umi
+    ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, bits, 2):
+        for x in (1, 2, 3):
+            other = key ^ (x << i)
+            at = np.minimum(np.searchsorted(key, other), n - 1)
+            u = np.flatnonzero((key[at] == other) & (other > key))
+            low, high = np.minimum(cnt[u], cnt[at[u]]), np.maximum(cnt[u], cnt[at[u]])
+            joined = (high == 1) | (high >= 2 * low - 1)
+            ends.append((u[joined], at[u[joined]]))
+    u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        least = label.copy()
+        np.minimum.at(least, label[u], low)
+        np.minimum.at(least, label[v], low)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    order = np.lexsort((umi, -cnt, label))
+    best = np.full(n, -1)
+    first = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1]))) if n else order
+    best[label[order[first]]] = umi[order[first]]
+    return best[label]
+
+
+def _graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (barcode, gene, umi) with umi_to; only a group that goes on in the next batch waits for it."""
+    held: list[np.ndarray] | None = None
+    names = ["barcode", "gene", "umi", "cnt", "umi_to"]
+    for batch in batches:
+        now = [batch.column(i).to_numpy() for i in range(4)]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        last = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if (now[0][0], now[1][0]) != (now[0][-1], now[1][-1]) else 0
+        held = [x[last:] for x in now]
+        if last:
+            done = [x[:last] for x in now]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, done), pa.array(_graph(*done))], names)
+    if held is not None and len(held[0]):
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(_graph(*held))], names)
 
 
 def correct_umis(nodes: DataFrame) -> DataFrame:
     """barcode, gene, umi, cnt, umi_to: each component of the UMI graph of a (barcode, gene) takes its most frequent UMI, of equal ones the least.
 
     UMIs at one substitution are joined if both have one read, or one has more and at least 2 c - 1 of the other's c.  A
-    group holds the distinct UMIs of a gene in a cell, 4 ** length of them at most.
+    group holds the distinct UMIs of a gene in a cell, 4 ** length of them at most; groups are sorted within their
+    partitions and solved many at a time.
     """
-    return nodes.groupBy("barcode", "gene").applyInPandas(_one_group, "barcode bigint, gene bigint, umi bigint, cnt bigint, umi_to bigint")
+    whole = nodes.select(*(F.col(c).cast("bigint").alias(c) for c in ("barcode", "gene", "umi", "cnt"))).repartition("barcode", "gene").sortWithinPartitions("barcode", "gene", "umi")
+    return whole.mapInArrow(_graphs, "barcode bigint, gene bigint, umi bigint, cnt bigint, umi_to bigint")
 
 
 def apply_umi_map(tags: DataFrame, umi_map: DataFrame) -> DataFrame:
@@ -67,37 +99,52 @@ def multi_gene_umis(nodes: DataFrame) -> DataFrame:
 
 
 def molecules(tags: DataFrame, bad: DataFrame | None = None) -> DataFrame:
-    """barcode, gene: molecules, intronic molecules, reads, PCR duplicates, discarded reads.  A molecule is intronic if all its reads are."""
+    """barcode, gene: molecules, reads, pcr_dups (reads less distinct positions) of exonic molecules; intronic, intron_reads and
+    intron_pcr_dups of those with an intronic read; discarded: reads of bad UMIs (barcode, gene, umi)."""
     if bad is not None:
         tags = tags.join(bad.select("barcode", "gene", "umi", F.lit(True).alias("bad")), ["barcode", "gene", "umi"], "left")
     else:
         tags = tags.withColumn("bad", F.lit(None).cast("boolean"))
-    each = tags.groupBy("barcode", "gene", "umi").agg(F.bool_and("intronic").alias("intronic"), F.count("*").alias("reads"), F.countDistinct("pos").alias("places"), F.max("bad").alias("bad"))
-    ok = F.col("bad").isNull()
+    each = tags.groupBy("barcode", "gene", "umi").agg(F.bool_or("intronic").alias("intronic"), F.count("*").alias("reads"), F.countDistinct("pos").alias("places"), F.max("bad").alias("bad"))
+    ok, intron = F.col("bad").isNull(), F.coalesce(F.col("intronic"), F.lit(False))
+    total = lambda test, value: F.coalesce(F.sum(F.when(test, F.expr(value))), F.lit(0))
     return each.groupBy("barcode", "gene").agg(
-        F.count_if(ok).alias("molecules"), F.count_if(ok & F.col("intronic")).alias("intronic"), F.coalesce(F.sum(F.when(ok, F.col("reads"))), F.lit(0)).alias("reads"),
-        F.coalesce(F.sum(F.when(ok, F.col("reads") - F.col("places"))), F.lit(0)).alias("pcr_dups"), F.coalesce(F.sum(F.when(~ok, F.col("reads"))), F.lit(0)).alias("discarded"),
+        F.count_if(ok & ~intron).alias("molecules"), total(ok & ~intron, "reads").alias("reads"), total(ok & ~intron, "reads - places").alias("pcr_dups"),
+        F.count_if(ok & intron).alias("intronic"), total(ok & intron, "reads").alias("intron_reads"), total(ok & intron, "reads - places").alias("intron_pcr_dups"),
+        total(~ok, "reads").alias("discarded"),
     )
 
 
 def barcode_rates(gene_counts: DataFrame) -> DataFrame:
-    """barcode: molecules, genes, intron_molecules, reads, pcr_dups, discarded_reads, rank (by molecules, then barcode)."""
-    x = gene_counts.groupBy("barcode").agg(
-        F.sum("molecules").alias("molecules"), F.count_if(F.col("molecules") > 0).alias("genes"), F.sum("intronic").alias("intron_molecules"),
-        F.sum("reads").alias("reads"), F.sum("pcr_dups").alias("pcr_dups"), F.sum("discarded").alias("discarded_reads"),
+    """barcode and eight counters: molecules, genes (with an exonic molecule), pcr_dups, reads, those of introns, discarded_reads."""
+    return gene_counts.groupBy("barcode").agg(
+        F.sum("molecules").alias("molecules"), F.count_if(F.col("molecules") > 0).alias("genes"), F.sum("pcr_dups").alias("pcr_dups"), F.sum("reads").alias("reads"),
+        F.sum("intronic").alias("intron_molecules"), F.sum("intron_pcr_dups").alias("intron_pcr_dups"), F.sum("intron_reads").alias("intron_reads"), F.sum("discarded").alias("discarded_reads"),
     )
-    return x
 
 
 def group_counts(gene_counts: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
     """Exonic molecules by barcode in columns group_<name>; genes may be in many groups, unknown genes are skipped."""
-    x = gene_counts.join(groups, "gene").groupBy("barcode").pivot("grp", names).agg(F.sum(F.expr("molecules - intronic")))
+    x = gene_counts.join(groups, "gene").groupBy("barcode").pivot("grp", names).agg(F.sum("molecules"))
     return x.select("barcode", *(F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(f"group_{n}") for n in names))
 
 
+def unknown_genes(groups: DataFrame, genes: DataFrame) -> DataFrame:
+    """Rows of a gene-group table whose gene is not among genes (gene)."""
+    return groups.join(genes.select("gene").distinct(), "gene", "left_anti")
+
+
 def duplicate_summary(gene_counts: DataFrame) -> DataFrame:
-    s = gene_counts.agg(F.sum("reads").alias("reads"), F.sum("pcr_dups").alias("pcr_dups"), F.sum("molecules").alias("molecules"), F.sum("intronic").alias("intronic"), F.sum("discarded").alias("discarded"))
-    return s.select("reads", "pcr_dups", "molecules", F.expr("100d * pcr_dups / nullif(reads, 0)").alias("dup_percent"), F.expr("100d * intronic / nullif(molecules, 0)").alias("intronic_percent"), F.expr("100d * discarded / nullif(reads + discarded, 0)").alias("discarded_percent"))
+    """Reads, molecules, PCR duplicates and discarded reads in all, and six percentages: UMI and PCR duplicates of cDNA, introns and both (null without reads)."""
+    names = ("molecules", "reads", "pcr_dups", "intronic", "intron_reads", "intron_pcr_dups", "discarded")
+    s = gene_counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    umi = lambda m, r: F.expr(f"100d - 100d * ({m}) / nullif({r}, 0)")
+    pcr = lambda d, r: F.expr(f"100d * ({d}) / nullif({r}, 0)")
+    return s.select(
+        F.expr("reads + intron_reads").alias("all_reads"), F.expr("molecules + intronic").alias("all_molecules"), F.expr("pcr_dups + intron_pcr_dups").alias("all_pcr_dups"), "discarded",
+        umi("molecules", "reads").alias("cdna_umi_percent"), pcr("pcr_dups", "reads").alias("cdna_pcr_percent"), umi("intronic", "intron_reads").alias("intron_umi_percent"), pcr("intron_pcr_dups", "intron_reads").alias("intron_pcr_percent"),
+        umi("molecules + intronic", "reads + intron_reads").alias("total_umi_percent"), pcr("pcr_dups + intron_pcr_dups", "reads + intron_reads").alias("total_pcr_percent"),
+    )
 
 
 def flag_duplicates(reads: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

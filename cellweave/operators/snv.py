@@ -69,16 +69,16 @@ def coverage_intersection(coverage: DataFrame, genome: DataFrame) -> DataFrame:
     return coverage.select("chrom", "pos").intersect(genome.select("chrom", "pos"))
 
 
-#: Named predicates over annotated SNVs (ref, alt, known, g1000, captured, rediportal).
+#: Named predicates over annotated SNVs (ref, alt of their strand, known, g1000, captured, rediportal, rep_family).
 PREDICATES: dict[str, Callable[[], Column]] = {
     "g1000": lambda: F.col("g1000"),
-    "A_to_G_edit": lambda: F.col("rediportal") & (F.col("ref") == "A") & (F.col("alt") == "G"),
-    "germline": lambda: F.col("known").contains("germline"),
+    "A_to_G_edit": lambda: (F.col("ref") == "A") & (F.col("alt") == "G") & (F.col("rediportal") | F.coalesce(F.col("rep_family").contains("Alu"), F.lit(False))),
+    "germline": lambda: F.col("known").contains("germline") | F.col("known").contains("WGS"),
     "somatic": lambda: F.col("known").contains("somatic"),
     "captured": lambda: F.col("captured"),
     "raw": lambda: F.col("known").contains("raw"),
     "transition": lambda: is_transition("ref", "alt"),
-    "transversion": lambda: ~is_transition("ref", "alt"),
+    "transversion": lambda: substitution("ref", "alt").isin("A>C", "C>A", "G>T", "T>G", "C>G", "G>C", "A>T", "T>A"),
 }
 
 

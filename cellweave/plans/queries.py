@@ -25,12 +25,12 @@ VIEWS = {
     "whitelist": ("supplier lineitem", "SELECT w.code, CAST(count(o.l_suppkey) AS BIGINT) AS cnt FROM (SELECT DISTINCT s_suppkey * 257 % 65536 AS code FROM supplier) w LEFT JOIN lineitem o ON o.l_suppkey * 257 % 65536 = w.code AND o.l_linenumber < 6 GROUP BY w.code"),
     "genes": ("part", "SELECT p_brand AS contig, p_partkey AS gid, p_partkey * 37 % 10000 AS lft, p_partkey * 37 % 10000 + p_size * 10 AS rgt, p_type AS label FROM part"),
     "points": ("orders", "SELECT concat('Brand#', CAST(1 + o_orderkey % 25 AS VARCHAR(9))) AS contig, o_orderkey AS pid, o_orderkey * 13 % 10000 AS pos FROM orders"),
-    "bases": ("lineitem", "SELECT l_partkey % 5 AS tid, l_partkey % 200 AS pos, (l_partkey % 200) % 4 AS ref, CASE WHEN l_quantity > 40 THEN CAST(l_quantity AS BIGINT) % 4 ELSE (l_partkey % 200) % 4 END AS base, 10 + l_linenumber * 5 AS qual, l_suppkey AS barcode, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand FROM lineitem"),
+    "bases": ("lineitem", "SELECT l_partkey % 5 AS tid, l_partkey % 200 AS pos, (l_partkey % 200) % 4 AS ref, CASE WHEN l_quantity > 40 THEN CAST(l_quantity AS BIGINT) % 4 ELSE (l_partkey % 200) % 4 END AS base, 10 + l_linenumber * 5 AS qual, l_suppkey AS barcode, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_orderkey % 12 AS qdist FROM lineitem"),
     "samples": ("orders", "SELECT DISTINCT o_orderpriority AS tool, o_custkey % 25 AS chrom, o_custkey AS pos, o_orderkey % 3 AS alt FROM orders"),
     "rates": ("orders lineitem", "SELECT o_custkey AS barcode, CAST(count(*) AS BIGINT) AS molecules, CAST(sum(l_linenumber) AS BIGINT) AS reads FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey"),
     "molecule_calls": ("lineitem", "SELECT l_orderkey AS molecule, l_partkey % 40 AS snv, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS alt FROM lineitem GROUP BY l_orderkey, l_partkey % 40"),
     "hits": ("lineitem", "SELECT l_orderkey AS read, CASE l_linenumber % 5 WHEN 0 THEN 'CDNA' WHEN 1 THEN 'CDNA' WHEN 2 THEN 'INTRON' WHEN 3 THEN 'AMBIGUOUS' ELSE CASE WHEN l_quantity > 25 THEN 'ANTISENSE' ELSE 'INTERGENIC' END END AS kind, l_partkey % 3 AS gene, 45 + CAST(l_quantity AS BIGINT) % 6 AS score FROM lineitem"),
-    "noted": ("part", "SELECT p_partkey AS snv, substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1) AS ref, substr('ACGT', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS alt, p_size > 25 AS captured, p_partkey % 2 = 0 AS tool1, p_partkey % 3 = 0 AS tool2, p_partkey % 5 = 0 AS g1000, p_partkey % 7 < 3 AS rediportal, CASE WHEN p_partkey % 11 = 0 THEN 'germline' WHEN p_partkey % 13 = 0 THEN 'somatic' ELSE '' END AS known, p_retailprice / 2000 AS strand_af FROM part"),
+    "noted": ("part", "SELECT p_partkey AS snv, substr('ACGT', CAST(1 + p_partkey % 4 AS INT), 1) AS ref, substr('ACGT', CAST(1 + (p_partkey + 1 + p_size % 3) % 4 AS INT), 1) AS alt, p_size > 25 AS captured, p_partkey % 2 = 0 AS tool1, p_partkey % 3 = 0 AS tool2, p_partkey % 5 = 0 AS g1000, p_partkey % 7 < 3 AS rediportal, CASE WHEN p_partkey % 11 = 0 THEN 'germline' WHEN p_partkey % 13 = 0 THEN 'somatic' WHEN p_partkey % 17 = 0 THEN 'raw,WGS' ELSE '' END AS known, CASE WHEN p_size % 9 = 0 THEN 'AluY' WHEN p_size % 4 = 0 THEN 'L1' END AS rep_family, p_retailprice / 2000 AS strand_af FROM part"),
 }
 
 
@@ -107,8 +107,9 @@ def multi_gene_umis(spark, d):
     return quant.multi_gene_umis(quant.umi_nodes(view(spark, d, "tags_wide")))
 
 
-_MOLS = """mols AS (SELECT barcode, gene, umi, bool_and(intronic) AS intronic, count(*) AS reads, count(DISTINCT pos) AS places FROM {t} GROUP BY ALL),
- gene_counts AS MATERIALIZED (SELECT barcode, gene, count(*) AS molecules, count(*) FILTER (intronic) AS intronic, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(reads - places) AS BIGINT) AS pcr_dups, CAST(0 AS BIGINT) AS discarded FROM mols GROUP BY ALL)"""
+_MOLS = """mols AS (SELECT barcode, gene, umi, bool_or(intronic) AS intronic, count(*) AS reads, count(DISTINCT pos) AS places FROM {t} GROUP BY ALL),
+ gene_counts AS MATERIALIZED (SELECT barcode, gene, count(*) FILTER (NOT intronic) AS molecules, CAST(coalesce(sum(reads) FILTER (NOT intronic), 0) AS BIGINT) AS reads, CAST(coalesce(sum(reads - places) FILTER (NOT intronic), 0) AS BIGINT) AS pcr_dups,
+  count(*) FILTER (intronic) AS intronic, CAST(coalesce(sum(reads) FILTER (intronic), 0) AS BIGINT) AS intron_reads, CAST(coalesce(sum(reads - places) FILTER (intronic), 0) AS BIGINT) AS intron_pcr_dups, CAST(0 AS BIGINT) AS discarded FROM mols GROUP BY ALL)"""
 
 
 @register("molecules_by_gene", f"""CTE {_MAP}, fixed AS (SELECT t.barcode, t.gene, m.umi_to AS umi, t.pos, t.intronic FROM tags t JOIN umi_map m USING (barcode, gene, umi)), {_MOLS.format(t='fixed')} SELECT * FROM gene_counts""", ("tags",))
@@ -118,7 +119,7 @@ def molecules_by_gene(spark, d):
 
 
 @register("molecules_discarded", f"""CTE {_BAD}, good AS (SELECT t.* FROM tags_wide t ANTI JOIN bad USING (barcode, gene, umi)), {_MOLS.format(t='good')}, lost AS (SELECT barcode, gene, CAST(sum(cnt) AS BIGINT) AS lost FROM bad GROUP BY ALL)
- SELECT barcode, gene, coalesce(molecules, 0) AS molecules, coalesce(intronic, 0) AS intronic, coalesce(reads, 0) AS reads, coalesce(pcr_dups, 0) AS pcr_dups, coalesce(lost, 0) AS discarded FROM gene_counts FULL JOIN lost USING (barcode, gene)""", ("tags_wide",))
+ SELECT barcode, gene, coalesce(molecules, 0) AS molecules, coalesce(intronic, 0) AS intronic, coalesce(reads, 0) AS reads, coalesce(pcr_dups, 0) AS pcr_dups, coalesce(intron_reads, 0) AS intron_reads, coalesce(intron_pcr_dups, 0) AS intron_pcr_dups, coalesce(lost, 0) AS discarded FROM gene_counts FULL JOIN lost USING (barcode, gene)""", ("tags_wide",))
 def molecules_discarded(spark, d):
     tags = view(spark, d, "tags_wide")
     return quant.molecules(tags, quant.multi_gene_umis(quant.umi_nodes(tags)))
@@ -127,18 +128,23 @@ def molecules_discarded(spark, d):
 _RATES = f"CTE {_MOLS.format(t='tags')}"
 
 
-@register("barcode_rates", _RATES + " SELECT barcode, CAST(sum(molecules) AS BIGINT) AS molecules, count(*) AS genes, CAST(sum(intronic) AS BIGINT) AS intron_molecules, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(pcr_dups) AS BIGINT) AS pcr_dups, CAST(0 AS BIGINT) AS discarded_reads FROM gene_counts GROUP BY barcode", ("tags",))
+_BY_BARCODE = "SELECT barcode, CAST(sum(molecules) AS BIGINT) AS molecules, count(*) FILTER (molecules > 0) AS genes, CAST(sum(pcr_dups) AS BIGINT) AS pcr_dups, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(intronic) AS BIGINT) AS intron_molecules, CAST(sum(intron_pcr_dups) AS BIGINT) AS intron_pcr_dups, CAST(sum(intron_reads) AS BIGINT) AS intron_reads, CAST(sum(discarded) AS BIGINT) AS discarded_reads FROM gene_counts GROUP BY barcode"
+
+
+@register("barcode_rates", f"{_RATES} {_BY_BARCODE}", ("tags",))
 def barcode_rates(spark, d):
     return quant.barcode_rates(quant.molecules(view(spark, d, "tags")))
 
 
-@register("gene_group_counts", _RATES + ", grp AS (SELECT 0 AS gene, 'MT' AS g UNION ALL SELECT 1, 'MT' UNION ALL SELECT 1, 'RP' UNION ALL SELECT 77, 'RP') SELECT barcode, CAST(coalesce(sum(molecules - intronic) FILTER (g = 'MT'), 0) AS BIGINT) AS \"group_MT\", CAST(coalesce(sum(molecules - intronic) FILTER (g = 'RP'), 0) AS BIGINT) AS \"group_RP\" FROM gene_counts JOIN grp USING (gene) GROUP BY barcode", ("tags",))
+@register("gene_group_counts", _RATES + ", grp AS (SELECT 0 AS gene, 'MT' AS g UNION ALL SELECT 1, 'MT' UNION ALL SELECT 1, 'RP' UNION ALL SELECT 77, 'RP') SELECT barcode, CAST(coalesce(sum(molecules) FILTER (g = 'MT'), 0) AS BIGINT) AS \"group_MT\", CAST(coalesce(sum(molecules) FILTER (g = 'RP'), 0) AS BIGINT) AS \"group_RP\" FROM gene_counts JOIN grp USING (gene) GROUP BY barcode", ("tags",))
 def gene_group_counts(spark, d):
     groups = spark.createDataFrame([(0, "MT"), (1, "MT"), (1, "RP"), (77, "RP")], "gene bigint, grp string")
     return quant.group_counts(quant.molecules(view(spark, d, "tags")), F.broadcast(groups), ["MT", "RP"])
 
 
-@register("duplicate_summary", _RATES + ", s AS (SELECT sum(reads) AS reads, sum(pcr_dups) AS pcr_dups, sum(molecules) AS molecules, sum(intronic) AS intronic FROM gene_counts) SELECT CAST(reads AS BIGINT) AS reads, CAST(pcr_dups AS BIGINT) AS pcr_dups, CAST(molecules AS BIGINT) AS molecules, 100.0::DOUBLE * pcr_dups / reads AS dup_percent, 100.0::DOUBLE * intronic / molecules AS intronic_percent, 0.0::DOUBLE AS discarded_percent FROM s", ("tags",))
+@register("duplicate_summary", _RATES + """, s AS (SELECT sum(molecules)::BIGINT AS m, sum(reads)::BIGINT AS r, sum(pcr_dups)::BIGINT AS d, sum(intronic)::BIGINT AS im, sum(intron_reads)::BIGINT AS ir, sum(intron_pcr_dups)::BIGINT AS id FROM gene_counts)
+ SELECT r + ir AS all_reads, m + im AS all_molecules, d + id AS all_pcr_dups, CAST(0 AS BIGINT) AS discarded, 100 - 100::DOUBLE * m / nullif(r, 0) AS cdna_umi_percent, 100::DOUBLE * d / nullif(r, 0) AS cdna_pcr_percent, 100 - 100::DOUBLE * im / nullif(ir, 0) AS intron_umi_percent,
+ 100::DOUBLE * id / nullif(ir, 0) AS intron_pcr_percent, 100 - 100::DOUBLE * (m + im) / nullif(r + ir, 0) AS total_umi_percent, 100::DOUBLE * (d + id) / nullif(r + ir, 0) AS total_pcr_percent FROM s""", ("tags",))
 def duplicate_summary(spark, d):
     return quant.duplicate_summary(quant.molecules(view(spark, d, "tags")))
 
@@ -197,8 +203,8 @@ def capped_sessions(spark, d):
     return sessionize.cap_sessions(view(spark, d, "points"), ["contig"], 600).groupBy("contig").agg(F.count("*").alias("n"))
 
 
-_PER = ", ".join(f"count(*) FILTER (qual >= 20 AND base = {b}) AS {x}_total, count(DISTINCT barcode) FILTER (qual >= 20 AND base = {b}) AS {x}_barcodes, count(*) FILTER (qual >= 20 AND base = {b} AND strand = '+') AS {x}_plus, count(*) FILTER (qual >= 20 AND base = {b} AND strand = '-') AS {x}_minus" for b, x in enumerate("ACGT"))
-_POS = f"positions AS MATERIALIZED (SELECT tid, pos, ref, count(*) FILTER (qual >= 20) AS coverage, count(*) FILTER (qual < 20) AS failed_count, count(DISTINCT barcode) FILTER (qual >= 20) AS barcodes, {_PER} FROM bases GROUP BY tid, pos, ref)"
+_PER = ", ".join(f"count(*) FILTER (qual >= 20 AND base = {b}) AS {x}_total, count(DISTINCT barcode) FILTER (qual >= 20 AND base = {b}) AS {x}_barcodes, count(*) FILTER (qual >= 20 AND base = {b} AND strand = '+') AS {x}_plus, count(*) FILTER (qual >= 20 AND base = {b} AND strand = '-') AS {x}_minus, count(DISTINCT barcode) FILTER (qual >= 20 AND base = {b} AND strand = '+') AS {x}_plus_barcodes, count(DISTINCT barcode) FILTER (qual >= 20 AND base = {b} AND strand = '-') AS {x}_minus_barcodes, count(DISTINCT barcode) FILTER (qual >= 20 AND base = {b} AND has_ref) AS {x}_with_ref_barcodes, coalesce(max(qdist) FILTER (qual >= 20 AND base = {b}), 0) AS {x}_edge" for b, x in enumerate("ACGT"))
+_POS = f"positions AS MATERIALIZED (SELECT tid, pos, ref, count(*) FILTER (qual >= 20) AS coverage, count(*) FILTER (qual < 20) AS failed_count, count(DISTINCT barcode) FILTER (qual >= 20) AS barcodes, count(DISTINCT barcode) FILTER (qual >= 20 AND strand = '+') AS plus_barcodes, count(DISTINCT barcode) FILTER (qual >= 20 AND strand = '-') AS minus_barcodes, count(DISTINCT barcode) FILTER (qual >= 20 AND base = ref) AS ref_barcodes, {_PER} FROM (SELECT *, coalesce(bool_or(base = ref AND qual >= 20) OVER (PARTITION BY tid, pos, ref, barcode), false) AS has_ref FROM bases) GROUP BY tid, pos, ref)"
 
 
 @register("pileup_positions", f"CTE {_POS} SELECT * FROM positions", ("bases",))
@@ -206,7 +212,7 @@ def pileup_positions(spark, d):
     return pileup.position_counts(view(spark, d, "bases"))
 
 
-_CAND = f"CTE {_POS}, alts AS (" + " UNION ALL ".join(f"SELECT tid, pos, ref, {b} AS alt, {x}_total AS n, {x}_barcodes AS b FROM positions WHERE barcodes >= 5" for b, x in enumerate("ACGT")) + "), best AS (SELECT * FROM alts WHERE alt <> ref AND b >= 2 QUALIFY row_number() OVER (PARTITION BY tid, pos ORDER BY n DESC, alt) = 1), cand AS (SELECT b.tid, b.pos, b.ref, b.alt, b.n AS alt_count, r.n AS ref_count FROM best b JOIN alts r ON r.tid = b.tid AND r.pos = b.pos AND r.alt = b.ref WHERE b.n >= 0.01 * (b.n + r.n))"
+_CAND = f"CTE {_POS}, alts AS (" + " UNION ALL ".join(f"SELECT tid, pos, ref, {b} AS alt, {x}_total AS n, {x}_barcodes AS b, {x}_edge AS edge FROM positions WHERE barcodes >= 5" for b, x in enumerate("ACGT")) + "), best AS (SELECT * FROM alts WHERE alt <> ref AND b >= 2 QUALIFY row_number() OVER (PARTITION BY tid, pos ORDER BY n DESC, alt) = 1), cand AS (SELECT b.tid, b.pos, b.ref, b.alt, b.n AS alt_count, r.n AS ref_count FROM best b JOIN alts r ON r.tid = b.tid AND r.pos = b.pos AND r.alt = b.ref WHERE b.n >= 0.01 * (b.n + r.n) AND b.edge >= 5)"
 
 
 @register("snv_candidates", _CAND + " SELECT *, row_number() OVER (ORDER BY tid, pos) - 1 AS snp FROM cand", ("bases",))
@@ -285,7 +291,7 @@ def overlap_summary(spark, d):
     return snv.overlap_summary(view(spark, d, "noted"))
 
 
-@register("snv_groups", "SELECT snv, concat_ws(',', CASE WHEN rediportal AND ref = 'A' AND alt = 'G' THEN 'edit' END, CASE WHEN g1000 AND NOT (ref || '>' || alt IN ('A>G', 'G>A', 'C>T', 'T>C')) THEN 'gtv' END, CASE WHEN contains(known, 'germline') AND captured THEN 'germ' END) AS label FROM noted", ("noted",))
+@register("snv_groups", "SELECT snv, concat_ws(',', CASE WHEN (rediportal OR coalesce(contains(rep_family, 'Alu'), false)) AND ref = 'A' AND alt = 'G' THEN 'edit' END, CASE WHEN g1000 AND NOT (ref || '>' || alt IN ('A>G', 'G>A', 'C>T', 'T>C')) THEN 'gtv' END, CASE WHEN (contains(known, 'germline') OR contains(known, 'WGS')) AND captured THEN 'germ' END) AS label FROM noted", ("noted",))
 def snv_groups(spark, d):
     g = snv.GroupBuilder().add_group("edit", "A to G edits", "A_to_G_edit").add_group("gtv", "known transversions", "g1000", "~transition").add_group("germ", "captured germline", "germline", "captured")
     return view(spark, d, "noted").select("snv", g.label().alias("label"))
@@ -327,9 +333,8 @@ def unique_names(spark, d):
 _SEQ = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 
 
-@register("sequence_functions", f"CTE s AS (SELECT doc_id, substr({_SEQ}, 1, 40) AS s FROM documents) SELECT doc_id, s, translate(reverse(s), 'ACGT', 'TGCA') AS rc, CASE WHEN length(s) - length(rtrim(s, 'A')) < 6 THEN length(s) WHEN (length(s) - length(rtrim(s, 'A'))) * 2 <= length(s) THEN length(rtrim(s, 'A')) END AS kept, CASE WHEN length(s) >= 3 THEN (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM (SELECT substr(s, CAST(i AS INT), 3) AS t FROM (SELECT unnest(range(1, length(s) - 1)) AS i)) GROUP BY t)) / (length(s) - 2) END AS dust FROM s".replace("CTE s", "WITH s"))
+@register("sequence_functions", f"CTE s AS (SELECT doc_id, {_SEQ} AS s FROM documents) SELECT doc_id, s, translate(reverse(s), 'ACGT', 'TGCA') AS rc, CASE WHEN length(s) - length(rtrim(s, 'A')) < 6 THEN length(s) WHEN (length(s) - length(rtrim(s, 'A'))) * 2 <= length(s) THEN length(rtrim(s, 'A')) END AS kept, CASE WHEN length(s) >= 3 THEN (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM (SELECT substr(s, CAST(i AS INT), 3) AS t FROM (SELECT unnest(range(1, length(s) - 1)) AS i)) GROUP BY t)) / (length(s) - 2) END AS dust FROM s".replace("CTE s", "WITH s"))
 def sequence_functions(spark, d):
-    """Over whole texts; the SQL takes the first 40 letters of each."""
     s = F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s")
     return load(spark, d, "documents").select("doc_id", s).select("doc_id", "s", dna.reverse_complement("s").alias("rc"), dna.trim_tail("s").alias("kept"), dna.dust("s").alias("dust"))
 
