@@ -46,7 +46,9 @@ def _duck(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, sql = VIEWS[name]
-    return spark.sql(_spark_sql(sql).replace("FROM lineitem", "FROM {lineitem}").replace("JOIN lineitem", "JOIN {lineitem}").replace("FROM supplier", "FROM {supplier}").replace("FROM orders", "FROM {orders}").replace("FROM part", "FROM {part}"), **{t: load(spark, sf_dir, t) for t in tables.split()})
+    for t in tables.split():
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
+    return spark.sql(_spark_sql(sql), **{t: load(spark, sf_dir, t) for t in tables.split()})
 
 
 QUERIES: dict[str, Query] = {}
