@@ -15,13 +15,23 @@ ARROW_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches and make sure that a checkpoint folder exists (the session's own, if it names one)."""
+    """Bound the Arrow batches and make sure that a checkpoint folder exists: the one that spark.checkpoint.dir names; where that is
+    unset, one of this machine in local mode (as in tests), and an error on a cluster."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     while _held:
         _held.pop().unpersist()
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store that its path names, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

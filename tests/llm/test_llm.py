@@ -433,3 +433,35 @@ def test_query_equals_sql(spark, name):
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
     assert sorted(map(str, a[cols].values.tolist())) == sorted(map(str, b[cols].values.tolist()))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """All stages over a small corpus with nulls, repeats and unknown scripts, and over an empty one; clean documents stay, planted ones go or are cleaned."""
+    rng = random.Random(31)
+    words = {s: ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(60)] for s, letters in (("en", "abcdefghij"), ("fr", "klmnopqrsé"))}
+    text = lambda lang: " ".join(rng.choices(words[lang], k=80))
+    leak = text("en")
+    spark.createDataFrame([(1, leak), (2, "ab"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, text(("en", "fr")[i % 2]), ("en", "fr")[i % 2], f"s{i % 3}") for i in range(120)]
+    secret = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    rows += [(200, "一二三 四五" * 9, None, "s0"), (201, None, "en", None), (202, "12 !!", "en", "s1"), (203, rows[0][1], "en", "s0")]
+    long = text("en") + " " + text("en") + " " + text("en")
+    rows += [(204, f"{long} {leak[: leak.index(' ', 100)]} {long}", "en", "s1"), (205, f"{text('en')} token = {secret} {secret[::-1]}x", "en", "s2"), (None, text("fr"), None, None), (206, text("fr"), "fr", "s1"), (206, text("fr"), "fr", "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = docs
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == corpus_pipeline.COLUMNS
+        kept[name] = Counter(r.doc_id for r in now.collect())
+    clean = Counter(range(120)) + Counter([None, 206, 206])
+    assert kept["language"] == clean + Counter([203, 204, 205]) and kept["near_dedup"] == clean + Counter([204, 205])
+    assert kept["decontamination"] == clean + Counter([205]) and kept["secrets"] == kept["decontamination"]
+    found = {r.doc_id: r for r in now.collect()}
+    assert found[205].text.endswith(" [SECRET] [SECRET]") and found[205].n_chars == len(found[205].text) and found[5].text == rows[5][1]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and all(r.taken == r.copies * r.size and r.copies in (1, 2) for r in out) and {r.doc_id for r in out} <= set(kept["secrets"])
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
