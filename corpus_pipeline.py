@@ -15,7 +15,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import cut, once_rows, prepare, table, without_rows
+from cellweave.llm.common import cut, once_rows, prepare, remove_folder, table, without_rows
 from cellweave.llm.decontaminate import contamination
 from cellweave.llm.language_id import annotate, held_out, learn
 from cellweave.llm.mixing import mix_sources
@@ -97,7 +97,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over documents; what lies between them is written to the shared checkpoint folder."""
+    """The result of all stages over documents; what lies between them is written to the shared checkpoint folder.
+
+    A stage's folder goes once the next one is written; the last is what the result is read from, and stays.
+    """
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4()}"
@@ -106,4 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if i:
+                remove_folder(spark, f"{folder}/{STAGES[i - 1][0]}")
     return docs
