@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.dna import cigar_ops
+
 from .joins import interval_join
+from .sessionize import overlap_groups
 
 #: Results of reads, in the order of reports.
 RESULTS = "CDNA INTRONIC INTERGENIC AMBIGUOUS ANTISENSE MULTIMAPPED UNMAPPED BARCODE_FAIL UMI_FAIL TAG_FAIL".split()
@@ -191,3 +194,65 @@ def genome_counts(counts: DataFrame, organisms: DataFrame, names: list[str]) ->
 def collapse_counters(groups: DataFrame) -> DataFrame:
     """groups, ambiguous, lost, reads, dups of collapsed groups (ambiguous, lost: flags; reads, dups: counts)."""
     return groups.agg(F.count("*").alias("groups"), F.count_if("ambiguous").alias("ambiguous"), F.count_if("lost").alias("lost"), F.coalesce(F.sum("reads"), F.lit(0)).alias("reads"), F.coalesce(F.sum("dups"), F.lit(0)).alias("dups"))
+
+
+def rescored(hits: DataFrame, match: int = 1, mismatch: int = 4, gap_open: int = 6, gap_extend: int = 1) -> DataFrame:
+    """Hits (cigar, seq, ref: the reference from the first aligned base on, skips included) with score and nm.
+
+    Equal bases score match, others (and N) cost mismatch; a gap costs its opening and each base; skips and clips cost nothing.
+    """
+    step = lambda s, x: F.struct(
+        (s["r"] + F.when(x["op"].isin("M", "D", "N", "=", "X"), x["len"]).otherwise(0)).alias("r"), (s["q"] + F.when(x["op"].isin("M", "I", "S", "=", "X"), x["len"]).otherwise(0)).alias("q"),
+        (s["same"] + F.when(x["op"].isin("M", "=", "X"), _matches(s["r"], s["q"], x["len"])).otherwise(0)).alias("same"), (s["aligned"] + F.when(x["op"].isin("M", "=", "X"), x["len"]).otherwise(0)).alias("aligned"),
+        (s["gaps"] + F.when(x["op"].isin("D", "I"), 1).otherwise(0)).alias("gaps"), (s["gapped"] + F.when(x["op"].isin("D", "I"), x["len"]).otherwise(0)).alias("gapped"),
+    )
+    zero = F.struct(*(F.lit(0).alias(c) for c in ("r", "q", "same", "aligned", "gaps", "gapped")))
+    x = hits.withColumn("tally", F.aggregate(cigar_ops("cigar"), zero, step))
+    score = f"{match} * tally.same - {mismatch} * (tally.aligned - tally.same) - {gap_open} * tally.gaps - {gap_extend} * tally.gapped"
+    return x.withColumn("score", F.expr(score)).withColumn("nm", F.expr("tally.aligned - tally.same + tally.gapped")).drop("tally")
+
+
+def _matches(r: Column, q: Column, n: Column) -> Column:
+    """Equal letters, N being none, of n letters of ref from r and of seq from q."""
+    a, b = F.split(F.substring(F.col("ref"), r + 1, n), ""), F.split(F.substring(F.col("seq"), q + 1, n), "")
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != "N") & (x != "")), lambda same: F.coalesce(same, F.lit(False))))
+
+
+def projected(hits: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Hits on transcripts (transcript, t_lft, t_rgt: closed, from 0 in the transcript's direction) as genome blocks: with chrom, strand and blocks (lft, rgt) in genome order.
+
+    transcripts: transcript, chrom, strand, exons (lft, rgt, in genome order)."""
+    x = hits.join(transcripts, "transcript")
+    total = F.aggregate("exons", F.lit(0), lambda a, e: a + e["rgt"] - e["lft"] + 1)
+    x = x.withColumn("p", F.when(F.col("strand") == "-", total - 1 - F.col("t_rgt")).otherwise(F.col("t_lft"))).withColumn("s", F.when(F.col("strand") == "-", total - 1 - F.col("t_lft")).otherwise(F.col("t_rgt")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<lft:int,rgt:int>>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        size = e["rgt"] - e["lft"] + 1
+        a, b = F.greatest(F.col("p") - s["at"], F.lit(0)), F.least(F.col("s") - s["at"], size - 1)
+        part = F.array(F.struct((e["lft"] + a).cast("int").alias("lft"), (e["lft"] + b).cast("int").alias("rgt")))
+        return F.struct((s["at"] + size).alias("at"), F.when(a <= b, F.concat(s["out"], part)).otherwise(s["out"]).alias("out"))
+
+    return x.withColumn("blocks", F.aggregate("exons", zero, step, lambda s: s["out"])).drop("p", "s", "exons")
+
+
+def blocks_cigar(blocks: str = "blocks") -> Column:
+    """CIGAR of matches and skips of blocks (lft, rgt) in genome order."""
+    step = lambda s, b: F.struct(b["rgt"].alias("last"), F.concat(s["out"], F.when(s["last"].isNotNull(), F.concat((b["lft"] - s["last"] - 1).cast("string"), F.lit("N"))).otherwise(""), (b["rgt"] - b["lft"] + 1).cast("string"), F.lit("M")).alias("out"))
+    return F.aggregate(F.col(blocks), F.struct(F.lit(None).cast("int").alias("last"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+
+def molecule_islands(blocks: DataFrame, slack: int = 5) -> DataFrame:
+    """molecule, island, lft, rgt, reads, ambiguous: unions of overlapping blocks (molecule, read, part, lft, rgt) of a molecule's reads.
+
+    A molecule is ambiguous if a read leads from an island to another than the next one, or leaves or enters an island by a
+    splice more than slack bases inside it.
+    """
+    placed = overlap_groups(blocks, ["molecule"], "lft", "rgt", ["read", "part"]).withColumnRenamed("session", "island")
+    whole = placed.groupBy("molecule", "island").agg(F.min("lft").alias("lft"), F.max("rgt").alias("rgt"), F.countDistinct("read").alias("reads"))
+    turn = Window.partitionBy("molecule", "read").orderBy("part")
+    step = placed.withColumn("next", F.lead("island").over(turn)).withColumn("next_lft", F.lead("lft").over(turn)).where("next is not null")
+    ends = whole.select("molecule", "island", F.col("lft").alias("i_lft"), F.col("rgt").alias("i_rgt"))
+    step = step.join(ends.select("molecule", "island", "i_rgt"), ["molecule", "island"]).join(ends.select("molecule", F.col("island").alias("next"), "i_lft"), ["molecule", "next"])
+    bad = step.groupBy("molecule").agg(F.max(F.expr(f"next <> island + 1 or i_rgt - rgt > {slack} or next_lft - i_lft > {slack}")).alias("bad"))
+    return whole.join(bad, "molecule", "left").select("molecule", "island", "lft", "rgt", "reads", F.coalesce("bad", F.lit(False)).alias("ambiguous"))

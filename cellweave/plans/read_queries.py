@@ -16,6 +16,7 @@ VIEWS.update({
     "gene_model": ("part", f"SELECT p_brand AS contig, p_partkey AS gid, concat('g', {S('p_partkey')}) AS gene_id, p_partkey * 37 % 10000 AS g_lft, p_partkey * 37 % 10000 + p_size * 10 AS g_rgt, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part"),
     "introns": ("part", f"SELECT p_partkey AS gid, p_partkey * 37 % 10000 + k * 60 + 30 AS i_lft, p_partkey * 37 % 10000 + k * 60 + 50 AS i_rgt FROM part CROSS JOIN {_KS} WHERE p_size * 10 > k * 60 + 55"),
     "exons": ("part", f"SELECT p_partkey AS transcript, p_partkey * 37 % 10000 + k * 60 AS lft, p_partkey * 37 % 10000 + k * 60 + 30 + p_size % 20 AS rgt, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part CROSS JOIN {_KS}"),
+    "blocks": ("orders", f"SELECT o_custkey AS molecule, o_orderkey AS read, k AS part, CAST(o_custkey % 50 * 10 + k * 200 + o_orderkey % 4 AS BIGINT) AS lft, CAST(o_custkey % 50 * 10 + k * 200 + 40 + o_orderkey % 9 AS BIGINT) AS rgt FROM orders CROSS JOIN {_KS} WHERE (o_orderkey + k) % 11 > 0"),
     "passed": ("supplier", f"SELECT concat('B', {S('s_suppkey')}) AS barcode, s_suppkey AS bid FROM supplier WHERE s_acctbal > 0"),
     "results": ("lineitem", f"SELECT l_suppkey AS barcode, l_linenumber < 7 AS barcode_ok, l_partkey % 9 > 0 AS umi_ok, l_partkey % 8 > 0 AS tag_ok, {_KIND} AS kind, l_quantity > 45 AS corrected FROM lineitem"),
     "align_hits": ("lineitem", "SELECT l_orderkey AS read, l_returnflag = 'R' AS antisense, l_partkey % 3 AS gene, 45 + CAST(l_quantity AS BIGINT) % 6 AS score, l_linenumber AS transcript FROM lineitem"),
@@ -210,3 +211,11 @@ def annotated_results(spark, d):
 @register("snv_set_ids", "CTE x AS (SELECT snv_set, count(*) AS molecules FROM (SELECT string_agg(CAST(snv AS VARCHAR), ',' ORDER BY snv) AS snv_set FROM molecule_calls GROUP BY molecule) GROUP BY snv_set) SELECT *, row_number() OVER (ORDER BY molecules DESC, snv_set) - 1 AS set_id FROM x", ("molecule_calls",))
 def snv_set_ids(spark, d):
     return annotate.set_ids(snv.snv_sets(view(spark, d, "molecule_calls")))
+
+
+@register("molecule_islands", """CTE m AS (SELECT *, CASE WHEN lft > max(rgt) OVER (PARTITION BY molecule ORDER BY lft, rgt, read, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM blocks), p AS (SELECT *, CAST(sum(new) OVER (PARTITION BY molecule ORDER BY lft, rgt, read, part ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM m),
+ w AS (SELECT molecule, island, min(lft) AS lft, max(rgt) AS rgt, count(DISTINCT read) AS reads FROM p GROUP BY molecule, island), s AS (SELECT *, lead(island) OVER t AS nxt, lead(lft) OVER t AS next_lft FROM p WINDOW t AS (PARTITION BY molecule, read ORDER BY part)),
+ b AS (SELECT s.molecule, bool_or(nxt <> s.island + 1 OR a.rgt - s.rgt > 5 OR next_lft - n.lft > 5) AS bad FROM s JOIN w a ON a.molecule = s.molecule AND a.island = s.island JOIN w n ON n.molecule = s.molecule AND n.island = s.nxt GROUP BY s.molecule)
+ SELECT w.*, coalesce(bad, false) AS ambiguous FROM w LEFT JOIN b USING (molecule)""", ("blocks",))
+def molecule_islands(spark, d):
+    return reads.molecule_islands(view(spark, d, "blocks"))

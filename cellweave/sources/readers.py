@@ -32,10 +32,14 @@ def fastq_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reads_10x(r1: DataFrame, r2: DataFrame, library: str = "V2") -> DataFrame:
-    """Reads of one pair of files: barcode, umi (and qualities) of R1, tag of R2; records are paired by number."""
+    """Reads of one pair of files: barcode, umi (and qualities) of R1, tag of R2; records are paired by number.
+
+    Files of unequal length are an error, raised where the read without a partner is met."""
     b, u, _ = LIBRARIES[library]
-    x = r1.select("rec", "name", *(F.substring(c, s, n).alias(o) for c, p in (("seq", ""), ("qual", "q_")) for s, n, o in ((1, b, f"{p}barcode"), (b + 1, u, f"{p}umi"))))
-    return x.join(r2.select("rec", F.col("seq").alias("tag"), F.col("qual").alias("q_tag")), "rec").drop("rec")
+    x = r1.select("rec", "name", *(F.substring(c, s, n).alias(o) for c, p in (("seq", ""), ("qual", "q_")) for s, n, o in ((1, b, f"{p}barcode"), (b + 1, u, f"{p}umi"))), F.lit(True).alias("in_r1"))
+    both = x.join(r2.select("rec", F.col("seq").alias("tag"), F.col("qual").alias("q_tag"), F.lit(True).alias("in_r2")), "rec", "full_outer")
+    whole = F.expr("case when in_r1 and in_r2 then true else raise_error(concat('read ', rec, ' is in one of R1 and R2 only')) end")
+    return both.where(whole).drop("rec", "in_r1", "in_r2")
 
 
 def downsample(reads: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -152,3 +156,47 @@ def compact(matrix: DataFrame, columns: DataFrame) -> DataFrame:
     rows = x.select("row").distinct().withColumn("r", F.row_number().over(Window.orderBy("row")) - 1)
     cols = x.select("col").distinct().withColumn("c", F.row_number().over(Window.orderBy("col")) - 1)
     return x.join(rows, "row").join(cols, "col").select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
+def pileup_targets(spark: SparkSession, path: str, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tid, pos, alt) of a list by place of its columns (1st contig, 2nd position, 4th base, after a header), and the contigs that contigs (tid, name) doesn't have."""
+    c = F.split("value", "\t")
+    x = _lines(spark, path).where("n > 0 and value <> '' and not startswith(value, '\t')").select(c[0].alias("name"), c[1].cast("int").alias("pos"), F.substring(c[3], 1, 1).alias("alt"))
+    return x.join(contigs.select("name", "tid"), "name").select("tid", "pos", "alt"), x.join(contigs, "name", "left_anti").select("name").distinct()
+
+
+def accuracy_list(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, pos, ref, alt of the first four columns after a header, with the line as it is."""
+    c = F.split("value", "\t")
+    return _lines(spark, path).where("n > 0 and value <> ''").select(c[0].alias("chrom"), c[1].cast("int").alias("pos"), c[2].alias("ref"), c[3].alias("alt"), F.col("value").alias("line"))
+
+
+def with_totals(files: DataFrame, totals: DataFrame) -> DataFrame:
+    """FASTQ files (dir, file, ...) with their reads from a totals table (dir, file, total), 0 for files that it doesn't have."""
+    t = totals.select("dir", "file", F.col("total").cast("bigint").alias("total"))
+    return files.join(t, ["dir", "file"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
+
+
+def accuracy_results(spark: SparkSession, folder: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(results, snvs) of a folder: tables <prefix>_*.txt.gz with the file each row came from, and that whose name ends in _snvs."""
+    x = tsv(spark, folder, pathGlobFilter=f"{prefix}_*.txt.gz").withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    snvs = F.col("file").endswith("_snvs.txt.gz")
+    return x.where(~snvs), x.where(snvs)
+
+
+def index_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Transcripts of an index folder with their exons (lft, rgt) as an array again, in genome order."""
+    x = spark.read.parquet(f"{path}/transcripts")
+    ends = (F.transform(F.split(f"exon_{c}", ","), lambda v: v.cast("int")) for c in ("lft", "rgt"))
+    return x.withColumn("exons", F.transform(F.arrays_zip(*(e.alias(c) for e, c in zip(ends, ("lft", "rgt"), strict=True))), lambda e: F.struct(e["lft"].alias("lft"), e["rgt"].alias("rgt")))).drop("exon_lft", "exon_rgt")
+
+
+def sample_data(spark: SparkSession, path: str, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SNVs and calls (snv, barcode, ...) of a stored sample, calls of the given barcodes only, if any are."""
+    calls = spark.read.parquet(f"{path}/calls")
+    return spark.read.parquet(f"{path}/snvs"), calls if keep is None else calls.join(keep.select("barcode").distinct(), "barcode", "left_semi")
+
+
+def length_filter(tx: DataFrame, least: int = 100) -> DataFrame:
+    """Transcripts (exons) of at least so many bases."""
+    return tx.where(F.aggregate("exons", F.lit(0), lambda a, e: a + e["rgt"] - e["lft"] + 1) >= least)
