@@ -164,6 +164,8 @@ def shingle_set(text: str | None, k: int) -> set:
     return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)} - {()}
 
 
+#: Rows of the index that a task makes.
+INDEX_ROWS = 500_000
 #: Texts in a block of the exact comparison.
 BLOCK = 256
 
@@ -272,7 +274,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     slots = reps.select("rep", F.col("n_shingles").alias("n"), F.col("rep").alias("comp"), "sig")
     near = close(with_pivots(slots.mapInArrow(_index(False), index)))
     loose = connected_components(near)
-    keys = located(slots.drop("comp"), loose).select("rep", "n", "comp", "sig").mapInArrow(_index(True), index)
+    # As many tasks as index rows need, so that what a task merges before its shuffle stays small.
+    indexed = located(slots.drop("comp"), loose).select("rep", "n", "comp", "sig").repartition(reps.count() * SYMBOLS // INDEX_ROWS + 1)
+    keys = indexed.mapInArrow(_index(True), index)
     open_ = cut(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key", "members"))
     buckets = cut(keys.join(open_, "key").select("key", "rep", "n", "comp", "members"))
     rows = buckets.count()
