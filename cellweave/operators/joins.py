@@ -39,14 +39,36 @@ def hamming1_pairs(nodes: DataFrame, keys: list[str], n: int) -> DataFrame:
     return left.join(nodes.select(*keys, F.col("code").alias("b"), F.col("cnt").alias("b_cnt")), [*keys, "b"])
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: str, l_range: tuple[str, str], r_range: tuple[str, str], width: int = 256) -> DataFrame:
-    """Inner join on equal `on` and overlapping closed ranges: both sides are dealt into bins of a width, and a pair is kept in its
-    first common bin only, so that no distinct is needed.  Column names of the sides must differ but for `on`."""
+#: Widths of the bins of overlap joins; a range is dealt at the first width that it doesn't exceed (the last for longer ones).
+WIDTHS = [256 * 8**k for k in range(6)]
+
+
+def _level(a: str, b: str) -> Column:
+    """Number of the width for a closed range."""
+    return F.aggregate(F.array(*map(F.lit, WIDTHS[:-1])), F.lit(0), lambda n, w: n + F.when(F.expr(f"{b} - {a}") >= w, 1).otherwise(0))
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: str, l_range: tuple[str, str], r_range: tuple[str, str]) -> DataFrame:
+    """Inner join on equal `on` and overlapping closed ranges.  Column names of the sides must differ but for `on`.
+
+    Ranges are dealt into bins of a width that suits their own length, two at most (but for those beyond the last width), and of all greater widths that
+    the other side may have; a pair meets at the greater of its two widths and is kept in its first common bin only, so that no
+    distinct is needed and a long range is no more rows than a short one.  The right side's widths (six at most) are
+    looked up first, so that the left side is only dealt where there is something to meet.
+    """
     (a, b), (c, d) = l_range, r_range
-    x = left.withColumn("bin", F.explode(F.expr(f"sequence(cast(floor({a} / {width}) as bigint), cast(floor({b} / {width}) as bigint))")))
-    y = right.withColumn("bin", F.explode(F.expr(f"sequence(cast(floor({c} / {width}) as bigint), cast(floor({d} / {width}) as bigint))")))
-    pair = f"{a} <= {d} and {c} <= {b} and bin = cast(floor(greatest({a}, {c}) / {width}) as bigint)"
-    return x.join(y, [on, "bin"]).where(pair).drop("bin")
+    widths = F.array(*map(F.lit, WIDTHS))
+    there = F.array(*(F.lit(r[0]) for r in right.select(_level(c, d)).distinct().collect() if r[0] is not None)).cast("array<int>")
+    every = F.array(*map(F.lit, range(len(WIDTHS))))
+
+    def dealt(rows: DataFrame, lo: str, hi: str, own: str, levels: Column) -> DataFrame:
+        x = rows.withColumn(own, _level(lo, hi)).withColumn("lv", F.explode(levels)).withColumn("w", F.element_at(widths, F.col("lv") + 1))
+        return x.withColumn("bin", F.explode(F.expr(f"sequence(cast(floor({lo} / w) as bigint), cast(floor({hi} / w) as bigint))"))).drop("w")
+
+    x = dealt(left, a, b, "own_l", F.filter(every, lambda n: (n == F.col("own_l")) | ((n > F.col("own_l")) & F.array_contains(there, n))))
+    y = dealt(right, c, d, "own_r", F.filter(every, lambda n: n >= F.col("own_r")))
+    pair = x.join(y, [on, "lv", "bin"]).where(f"{a} <= {d} and {c} <= {b} and lv = greatest(own_l, own_r)")
+    return pair.where(F.col("bin") == F.floor(F.greatest(a, c) / F.element_at(widths, F.col("lv") + 1))).drop("lv", "bin", "own_l", "own_r")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, on: str, pos: str, site: str, reach: int, above: bool) -> DataFrame:

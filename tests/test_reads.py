@@ -1,12 +1,13 @@
 """Alignment, annotation, source and sink operators: hand fixtures, and registered queries against DuckDB."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import cells, quant, reads
+from cellweave.operators import cells, joins, quant, reads, sessionize
 from cellweave.plans import queries, read_queries  # noqa: F401  (registers)
 from cellweave.session import TABLES
 from cellweave.sources import readers, sinks
@@ -29,6 +30,33 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.column_names) == sorted(want.column_names) and rows(got) == rows(want)
 
 
+def test_sessions_of_many_tiles(spark, monkeypatch):
+    """Sessions don't depend on the tiles; null keys and positions are groups of their own."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(4000), rng.choice([3, 20, 900])) for i in range(500)]
+    df = spark.createDataFrame(rows, "contig string, id long, lft long, size long").withColumn("rgt", F.col("lft") + F.col("size"))
+    monkeypatch.setattr(sessionize, "TILE", 64)
+    got = {r.id: (r.session, r.gap) for r in sessionize.gap_groups(sessionize.overlap_groups(df, ["contig"], "lft", "rgt", ["id"]).withColumnRenamed("session", "gap"), ["contig"], "lft", 15, ["id"]).collect()}
+    for c in ("a", "b", None):
+        end, last, session, gap = None, None, 0, 0
+        for lft, rgt, i in sorted((p, p + n, i) for k, i, p, n in rows if k == c):
+            gap += end is not None and lft > end
+            end = rgt if end is None else max(end, rgt)
+            session += last is not None and lft - last > 15
+            last = lft
+            assert got[i] == (session, gap)
+
+
+def test_interval_join_of_all_lengths(spark):
+    rng = random.Random(7)
+    span = lambda: (p := rng.randrange(3_000_000), p + rng.choice([0, 5, 300, 5000, 400_000, 9_000_000]))
+    left, right = [(i, "c", *span()) for i in range(150)], [(i, "c", *span()) for i in range(150)]
+    x, y = spark.createDataFrame(left, "i long, on_ string, a long, b long"), spark.createDataFrame(right, "j long, on_ string, c long, d long")
+    want = Counter((i, j) for i, _, a, b in left for j, _, c, d in right if a <= d and c <= b)
+    assert Counter((r.i, r.j) for r in joins.interval_join(x, y, "on_", ("a", "b"), ("c", "d")).collect()) == want
+    assert joins.interval_join(x, y.limit(0), "on_", ("a", "b"), ("c", "d")).count() == 0
+
+
 def test_mixed_molecule(spark):
     """One intronic read makes a molecule intronic; its reads and duplicates count apart; reads of bad UMIs count as discarded."""
     tags = spark.createDataFrame([(1, 5, 0, 10, False), (1, 5, 0, 10, True), (1, 5, 0, 11, False), (1, 5, 9, 3, False), (1, 5, 9, 3, False), (1, 6, 9, 3, False)], "barcode long, gene long, umi long, pos int, intronic boolean")
