@@ -46,3 +46,44 @@ def to_memory(df: DataFrame, name: str, mode: str = "complete") -> StreamingQuer
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
     q.processAllAvailable()
     return q
+
+
+#: Milliseconds of event time between contigs in a sweep: more than any position.
+CONTIG_STRIDE = 1 << 33
+#: A contig number behind all others: a row of it ends a sweep.
+LAST_CONTIG = 1 << 20
+
+
+def sweep(bases: DataFrame, slack: int = 1000) -> DataFrame:
+    """tid, pos, base, n, qual of a stream of bases in order of tid and pos, give or take slack positions; for output mode append.
+
+    The place on the genome is the event time, so that the watermark is the sweep line: a position is emitted once, when no read before it can
+    come any more, and its state goes.  Rows behind the line are late: they are dropped and counted (``late_rows``).  The
+    line moves after a batch, so two rows of contigs LAST_CONTIG and LAST_CONTIG + 1, a batch each, end the sweep; they
+    are not emitted.
+    """
+    at = F.timestamp_millis(F.col("tid").cast("bigint") * CONTIG_STRIDE + F.col("pos") + 1)
+    g = bases.withColumn("at", at).withWatermark("at", f"{slack} milliseconds").groupBy("at", "tid", "pos", "base").agg(F.count("*").alias("n"), F.max("qual").alias("qual"), F.max("tid").alias("contig"))
+    # By an aggregate, which can't move below the watermark: the rows that end the sweep must reach it.
+    return g.where(F.col("contig") < LAST_CONTIG).drop("at", "contig")
+
+
+def to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """All that is there by now in micro-batches, appended to Parquet files; a restart goes on from the checkpoint folder."""
+    q = df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).start(path)
+    q.processAllAvailable()
+    q.stop()
+    return q
+
+
+def late_rows(query: StreamingQuery, strict: bool = False) -> int:
+    """Rows that came behind the watermark, over all batches; strict: an error if there are any."""
+    n = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+    if strict and n:
+        raise ValueError(f"{n} rows are out of order")
+    return n
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int, float, int]]:
+    """(batch, input rows, rows a second, rows of state) of the batches so far."""
+    return [(p["batchId"], p["numInputRows"], p["processedRowsPerSecond"] or 0.0, sum(op["numRowsTotal"] for op in p["stateOperators"])) for p in query.recentProgress]
