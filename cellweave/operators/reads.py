@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.dna import cigar_ops
 
-from .joins import interval_join
+from .joins import interval_join, overlap_totals, small
 from .sessionize import overlap_groups
 
 #: Results of reads, in the order of reports.
@@ -33,12 +33,12 @@ def cellranger_reads(reads: DataFrame, genes: DataFrame, forward_library: bool =
     intronic ones (RE = N, or neither RE nor GX) that overlap just one gene (contig, g_lft, g_rgt, strand) of their strand.
     """
     good = reads.where("mapq = 255 and CB is not null and UB is not null and not coalesce(RE = 'E' and MM = 1, false)").withColumn("XS", tag_strand(F.col("reverse"), forward_library))
-    exonic = good.where("RE = 'E' or (RE is null and GX is not null)").where("not contains(GX, ';')").join(genes.select(F.col("gene_id").alias("GX"), "gid"), "GX")
+    exonic = good.where("RE = 'E' or (RE is null and GX is not null)").where("not contains(GX, ';')").join(small(genes.select(F.col("gene_id").alias("GX"), "gid")), "GX")
     inner = good.where("RE = 'N' or (RE is null and GX is null)")
-    near = interval_join(inner.select("id", "contig", "lft", "rgt", "XS"), genes.select("contig", "g_lft", "g_rgt", "gid", "strand"), "contig", ("lft", "rgt"), ("g_lft", "g_rgt")).where("strand = XS")
-    one = near.groupBy("id").agg(F.count("*").alias("n"), F.min("gid").alias("gid")).where("n = 1").drop("n")
+    of = genes.select("contig", "g_lft", "g_rgt", "gid", F.col("strand").alias("XS"))
+    near = overlap_totals(inner, of, ["contig", "XS"], ("lft", "rgt"), ("g_lft", "g_rgt"), "gid").withColumn("of_id", F.sum("n").over(Window.partitionBy("id", "XS")))
     names = [*good.columns, "gid"]
-    return exonic.select(names).unionByName(inner.join(one, "id").select(names))
+    return exonic.select(names).unionByName(near.where("of_id = 1").withColumnRenamed("total", "gid").select(names))
 
 
 def genome_reads(reads: DataFrame, min_mapq: int = 20, duplicates: bool = True) -> DataFrame:

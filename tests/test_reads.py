@@ -57,6 +57,36 @@ def test_interval_join_of_all_lengths(spark):
     assert joins.interval_join(x, y.limit(0), "on_", ("a", "b"), ("c", "d")).count() == 0
 
 
+def test_overlap_totals(spark):
+    """Numbers and sums by brute force: touching ends, many tiles, negative and turned ranges, nulls and repeated rows."""
+    rng = random.Random(8)
+    place = lambda: rng.choice([None, *(rng.randrange(-300_000, 300_000) for _ in range(20))])
+    span = lambda: (p := place(), None if p is None else p + rng.choice([0, 1, 300, 5000, 400_000, -1, -700]))
+    key = lambda: rng.choice(["c", "d", None])
+    left, right = [(i, key(), "+", *span()) for i in range(120)], [(rng.choice([None, j, 10**17]), key(), rng.choice("+-"), *span()) for j in range(120)]
+    right += [(7, "c", "+", left[0][4] or 0, (left[0][4] or 0) + 1), (9, "e", "+", 0, 5), (None, "f", "+", 0, 5)]
+    left += [left[0], left[1], (500, "e", "+", 5, 9), (501, "e", "+", 6, 9), (502, "f", "+", 5, 5)]
+    x, y = spark.createDataFrame(left, "i long, k string, s string, a long, b long"), spark.createDataFrame(right, "v long, k string, s string, c long, d long")
+    for p, r in ((left, right), ([z for z in left if z[3] is not None and z[3] <= z[4]], [z for z in right if z[3] is not None and z[3] <= z[4]])):
+        want = []
+        for i, k, s, a, b in p:
+            hits = [v for v, k2, s2, c, d in r if None not in (k, a, c) and (k, s) == (k2, s2) and a <= d and c <= b]
+            want += [(i, len(hits), sum(known) if (known := [v for v in hits if v is not None]) else None)] if hits else []
+        x, y = spark.createDataFrame(p, x.schema), spark.createDataFrame(r, y.schema)
+        got = joins.overlap_totals(x, y, ["k", "s"], ("a", "b"), ("c", "d"), "v").collect()
+        assert Counter((g.i, g.n, g.total) for g in got) == Counter(want)
+
+
+def test_cellranger_reads_at_any_size(spark, monkeypatch):
+    """Genes beyond the bound are not broadcast, however small their file; reads of one id on two strands count apart, as in SQL."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 50)
+    assert "Broadcast" not in queries.QUERIES["cellranger_reads"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    genes = spark.createDataFrame([("c", 1, "g1", 0, 99, "+"), ("c", 2, "g2", 50, 99, "-"), ("c", 3, "g3", 90, 99, "-")], "contig string, gid long, gene_id string, g_lft long, g_rgt long, strand string")
+    made = [(5, 10, 60, False), (5, 10, 60, True), (6, 10, 90, True), (7, 10, 60, False), (7, 200, 300, False), (8, 10, 60, False), (8, 20, 70, False)]
+    found = reads.cellranger_reads(spark.createDataFrame([(i, "c", a, b, r, 255, "B", "U", "N", 0, None) for i, a, b, r in made], "id long, contig string, lft long, rgt long, reverse boolean, mapq int, CB string, UB string, RE string, MM int, GX string"), genes)
+    assert sorted((r.id, r.XS, r.gid) for r in found.collect()) == [(5, "+", 1), (5, "-", 2), (7, "+", 1)]
+
+
 def test_mixed_molecule(spark):
     """One intronic read makes a molecule intronic; its reads and duplicates count apart; reads of bad UMIs count as discarded."""
     tags = spark.createDataFrame([(1, 5, 0, 10, False), (1, 5, 0, 10, True), (1, 5, 0, 11, False), (1, 5, 9, 3, False), (1, 5, 9, 3, False), (1, 6, 9, 3, False)], "barcode long, gene long, umi long, pos int, intronic boolean")
