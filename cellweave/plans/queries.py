@@ -167,7 +167,7 @@ def read_classes(spark, d):
 @register("interval_overlaps", "SELECT p.pid, count(*) AS n, CAST(sum(g.gid) AS BIGINT) AS mark FROM points p JOIN genes g ON p.contig = g.contig AND p.pos <= g.rgt AND g.lft <= p.pos + 90 GROUP BY p.pid", ("points", "genes"))
 def interval_overlaps(spark, d):
     p = view(spark, d, "points").withColumn("stop", F.expr("pos + 90"))
-    return joins.interval_join(p, view(spark, d, "genes"), "contig", ("pos", "stop"), ("lft", "rgt")).groupBy("pid").agg(F.count("*").alias("n"), F.sum("gid").alias("mark"))
+    return joins.overlap_totals(p, view(spark, d, "genes"), ["contig"], ("pos", "stop"), ("lft", "rgt"), "gid").groupBy("pid").agg(F.sum("n").alias("n"), F.sum("total").alias("mark"))
 
 
 @register("point_annotations", "SELECT p.pid, coalesce(string_agg(g.label, ',' ORDER BY g.label), '') AS labels, count(g.label) > 0 AS covered FROM points p LEFT JOIN genes g ON p.contig = g.contig AND p.pos BETWEEN g.lft AND g.rgt GROUP BY p.pid", ("points", "genes"))

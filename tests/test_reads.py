@@ -95,6 +95,21 @@ def test_overlap_totals(spark):
         assert Counter((g.i, g.n, g.total) for g in got) == Counter(want)
 
 
+def test_interval_overlaps_of_deep_tables(spark, tmp_path):
+    """Many points and genes at few places, nulls, repeated keys and turned ranges, as in SQL; nothing is broadcast by the size of files."""
+    rng = random.Random(9)
+    points = [(rng.choice([None, 25 * rng.randrange(-4, 4) + 1, 10_000 * i + 1]),) for i in range(400)]
+    genes = [(rng.choice([None, i, i % 7]), rng.choice(["Brand#2", "Brand#2", "Brand#3", None]), rng.choice([None, 50, 1, 0, -1, -3])) for i in range(400)]
+    spark.createDataFrame(points, "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(genes, "p_partkey long, p_brand string, p_size int").withColumn("p_type", F.lit("t")).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "part"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    found, want = queries.QUERIES["interval_overlaps"](spark, str(tmp_path)), con.sql(queries.ORACLE["interval_overlaps"]).to_arrow_table()
+    assert want.num_rows > 100 and rows(found.toArrow()) == rows(want)
+    assert "Broadcast" not in queries.QUERIES["interval_overlaps"](spark, D)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cellranger_reads_at_any_size(spark, monkeypatch):
     """Genes beyond the bound are not broadcast, however small their file; reads of one id on two strands count apart, as in SQL."""
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 50)
